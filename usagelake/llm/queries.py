@@ -22,5 +22,32 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_mixing": op7_mixing, "op9_sharding": op9_sharding}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from usagelake.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from usagelake.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from usagelake.llm.vector_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
+    "op7_mixing": op7_mixing,
+    "op8_html": op8_html,
+    "op9_sharding": op9_sharding,
+    "op10_vector_topk": op10_vector_topk,
+}
 ORACLES: dict[str, str] = {}
