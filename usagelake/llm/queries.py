@@ -22,6 +22,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from usagelake.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from usagelake.llm.quality import fit_quality, score_quality
 
@@ -44,6 +51,7 @@ def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op7_mixing": op7_mixing,
     "op8_html": op8_html,
