@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from usagelake.llm.common import table
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from usagelake.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from usagelake.llm.mixing import mixed_counts
 
@@ -53,6 +59,7 @@ def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op5_near_dedup": op5_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_html": op8_html,
     "op9_sharding": op9_sharding,
