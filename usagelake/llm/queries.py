@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from usagelake.llm.common import table
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from usagelake.llm.suffix_dedup import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from usagelake.llm.near_dedup import near_duplicates
 
@@ -59,6 +65,7 @@ def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_html": op8_html,
