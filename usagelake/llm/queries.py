@@ -15,12 +15,27 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from usagelake.llm.line_dedup import without_repeated_lines
+
+    rows = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from usagelake.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from usagelake.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from usagelake.llm.mixing import mixed_counts
 
@@ -66,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_near_dedup": op5_near_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_mixing": op7_mixing,
     "op8_html": op8_html,
     "op9_sharding": op9_sharding,
