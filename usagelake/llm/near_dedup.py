@@ -263,7 +263,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, members: DataFrame, size: i
     rows = written(rows.where("chunks > 1"), "large-families")
     # A few pivots of each large family join all of its chunks.
     best = rows.groupBy("family").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("vid", F.lit(1)), F.col("chunks") * F.lit(FAMILY // 8)) < PIVOTS, F.struct(F.xxhash64("vid").alias("h"), F.col("vid").alias("p"))))), 1, PIVOTS).alias("best"))
-    pivots = rows.join(best.select("family", F.explode("best.p").alias("vid")), ["family", "vid"]).withColumnRenamed("chunk", "home").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("long")).where("chunk <> home").drop("home")
+    pivots = rows.join(best.select("family", F.explode("best.p").alias("vid")), ["family", "vid"]).withColumnRenamed("chunk", "home").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))).where("chunk <> home").drop("home")
     links = links.unionByName(written(verified(rows.unionByName(pivots), ["family", "chunk"], size, num, den), "links"))
     known = connected_components(links, "a", "b").select(F.col("node").alias("vid"), F.col("component").alias("found"))
     state = rows.join(known, "vid", "left").withColumn("comp", F.coalesce("found", "vid")).drop("found")
