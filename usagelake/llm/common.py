@@ -60,3 +60,21 @@ def before(df: DataFrame, group: list[str], cell: str, order: list[str], value:
     cells = cells.select(*group, cell, F.coalesce(F.sum("_cell_sum").over(outer), F.lit(0)).alias("_cell_before"))
     rows = df.withColumn("_row_before", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return rows.join(cells, [*group, cell]).withColumn(name, F.col("_cell_before") + F.col("_row_before")).drop("_cell_before", "_row_before")
+
+
+#: Bits of the bitmap that prefilters rows before a join; its 1024 pieces of 4 KB are all that is broadcast.
+FILTER_BITS = 2**25
+
+
+def prefiltered(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows whose key may be among the wanted keys: all that are, and some others by chance.
+
+    For use before a join that would shuffle wide rows most of which match nothing. Keys are hashed onto a bitmap of
+    fixed size; on inputs that fill it up less is held back, and the join stays right.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS)) + 1
+    bits = wanted.select(place(wanted_key).alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    position = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_place", place(key)).withColumn("_bucket", F.bitmap_bucket_number("_place")).join(F.broadcast(bits), "_bucket")
+    return found.where(F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("_place", "_bucket", "_bits")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from usagelake.llm.common import without, written
+from usagelake.llm.common import prefiltered, without, written
 from usagelake.llm.graph import connected_components
 
 DEPTH = 4
@@ -161,20 +161,23 @@ def leaf_edges(num: int, den: int):
 
 def families(classes: DataFrame, trees: int, num: int, den: int) -> DataFrame:
     """vid, family: classes that hang together by leaves and full-depth nodes of the trees."""
-    part = F.array(*[F.slice("mins", t * DEPTH + 1, DEPTH) for t in range(trees)])
-    rows = classes.select("vid", "n_shingles", "sketch", F.posexplode(part).alias("tree", "path")).withColumn("node", F.col("tree").cast("long"))
+    first = F.array(*[F.element_at("mins", t * DEPTH + 1) for t in range(trees)])
+    rows = classes.select("vid", F.posexplode(first).alias("tree", "token")).select("vid", "tree", F.xxhash64(F.col("tree").cast("long"), "token").alias("node"))
     leaves, deep = None, None
     for depth in range(1, DEPTH + 1):
-        rows = rows.withColumn("node", F.xxhash64("node", F.element_at("path", depth)))
+        # Most nodes hold one class and end here, so the classes' sketches and paths join those that are left.
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         rows = written(rows.join(sizes, "node"), "path-nodes")
-        leaf = rows.where(F.col("size") <= NODE).select("node", "vid", "n_shingles", "sketch")
+        leaf = rows.where(F.col("size") <= NODE).select("node", "vid")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         rows = rows.where(F.col("size") > NODE).drop("size")
         if rows.isEmpty():
             break
         deep = rows if depth == DEPTH else None
-    members = leaves.groupBy("node").agg(F.collect_list(F.struct("vid", "n_shingles", "sketch")).alias("members"))
+        if depth < DEPTH:
+            token = F.element_at("mins", F.col("tree") * DEPTH + depth + 1)
+            rows = rows.join(classes.select("vid", "mins"), "vid").select("vid", "tree", F.xxhash64("node", token).alias("node"))
+    members = leaves.join(classes.select("vid", "n_shingles", "sketch"), "vid").groupBy("node").agg(F.collect_list(F.struct("vid", "n_shingles", "sketch")).alias("members"))
     edges = members.select("members").mapInPandas(leaf_edges(num, den), "a long, b long")
     if deep is not None:
         deep = deep.select("node", "vid")
@@ -252,7 +255,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, members: DataFrame, size: i
     totals = written(totals.withColumn("chunks", F.ceil(F.greatest(F.col("members") / FAMILY, F.col("chars") / FAMILY_CHARS)).cast("int")), "families")
     ids = members.join(totals, "family").join(classes.select("vid", "doc_id", "n_shingles", "sketch", "h1", "h2"), "vid")
     # A class is read back through one of its ids; the set is compared again where an id has several texts.
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
+    texts = prefiltered(docs, F.col("doc_id"), ids, F.col("doc_id")).select(F.col("doc_id").alias("_id"), "text")
     rows = ids.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     rows = rows.select("family", "chunks", "vid", "n_shingles", "sketch", "h1", "h2", "text", F.pmod(F.xxhash64("vid"), F.col("chunks").cast("long")).alias("chunk"), F.lit(0).alias("role"), F.lit(-1).cast("long").alias("comp"))
     rows = same_set(rows, size)
