@@ -39,7 +39,7 @@ from usagelake.llm.common import written
 LENGTH = 400
 GRAM = 272
 WIDTH = LENGTH - GRAM + 1
-PIECE = 1 << 20
+PIECE = 1 << 19
 GROUP = 64
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
@@ -271,10 +271,40 @@ def small_groups(sides: DataFrame) -> DataFrame:
     return sides.select("anchor", "run", "left", "right").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, "anchor long, run long, ranges array<int>")
 
 
-def large_groups(sides: DataFrame) -> DataFrame:
-    """The same for other anchors, by counting each window's hash."""
+WINDOW = np.dtype([("anchor", "<i8"), ("run", "<i8"), ("window", "<i8"), ("distance", "<i2")])
+
+
+def exchanged(packed: DataFrame, solve, schema: str) -> DataFrame:
+    """Runs solve on the records of each bucket; packed has rows of a bucket number and many records as bytes,
+    so records move in columns and not as rows of their own."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, records = None, []
+        for part in parts:
+            for bucket, data in zip(part["bucket"], part["records"], strict=True):
+                if bucket != held and records:
+                    yield solve(np.frombuffer(b"".join(records), WINDOW))
+                    records = []
+                held = bucket
+                records.append(data)
+        if records:
+            yield solve(np.frombuffer(b"".join(records), WINDOW))
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
+
+
+def in_buckets(records: np.ndarray, key: np.ndarray, buckets: int) -> pd.DataFrame:
+    bucket = (mixed(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    names, first = np.unique(bucket[order], return_index=True)
+    return pd.DataFrame({"bucket": names, "records": [x.tobytes() for x in np.split(records[order], first[1:])] if len(names) else []})
+
+
+def large_groups(sides: DataFrame) -> DataFrame:
+    """The same for other anchors, by counting each window's hash: buckets of windows, then of classes."""
+    buckets = max(64, sides.count() // 500)
+
+    def windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for at in range(0, len(part), 2000):
                 few = part.iloc[at : at + 2000]
@@ -285,15 +315,33 @@ def large_groups(sides: DataFrame) -> DataFrame:
                 near = np.maximum(0, WIDTH - 1 - r_size)
                 count = l_size - near + 1
                 row = np.repeat(np.arange(len(few)), count)
-                distance = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + near[row]
+                found = np.zeros(len(row), WINDOW)
+                found["distance"] = distance = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + near[row]
                 one, two = (PrefixHashes(data, b).of(anchor_at[row] - distance, WIDTH - 1) for b in BASES)
-                yield pd.DataFrame({"anchor": few["anchor"].to_numpy()[row], "run": few["run"].to_numpy()[row], "distance": distance.astype(np.int32), "window": mixed(mixed(one) ^ (two * np.uint64(BASES[0]))).view(np.int64)})
-
-    windows = sides.select("anchor", "run", "left", "right").mapInPandas(run, "anchor long, run long, distance int, window long")
-    key = ["anchor", "distance", "window"]
-    again = windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    found = windows.join(again, key).groupBy("anchor", "run").agg(F.sort_array(F.collect_set("distance")).alias("d"))
-    return found.select("anchor", "run", F.flatten(F.transform("d", lambda d: F.array(d, d))).alias("ranges"))
+                found["anchor"], found["run"] = few["anchor"].to_numpy()[row], few["run"].to_numpy()[row]
+                found["window"] = mixed(mixed(one) ^ (two * np.uint64(BASES[0]))).view(np.int64)
+                yield in_buckets(found, found["window"] + found["anchor"], buckets)
+
+    def repeated(found: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((found["distance"], found["anchor"], found["window"]))
+        found = found[order]
+        same = (found[1:]["window"] == found[:-1]["window"]) & (found[1:]["anchor"] == found[:-1]["anchor"]) & (found[1:]["distance"] == found[:-1]["distance"])
+        again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        return in_buckets(found[again], found["run"][again] + found["anchor"][again], buckets)
+
+    def gathered(found: np.ndarray) -> pd.DataFrame:
+        found = found[np.lexsort((found["distance"], found["run"], found["anchor"]))]
+        edge = np.flatnonzero(np.concatenate([[True], (found[1:]["run"] != found[:-1]["run"]) | (found[1:]["anchor"] != found[:-1]["anchor"])])) if len(found) else np.zeros(0, np.int64)
+        covered = []
+        for part in np.split(found["distance"], edge[1:]) if len(edge) else []:
+            held = np.zeros(WIDTH, bool)
+            held[part] = True
+            covered.append(ranges(held))
+        return pd.DataFrame({"anchor": found["anchor"][edge], "run": found["run"][edge], "ranges": covered})
+
+    packed = "bucket long, records binary"
+    first = sides.select("anchor", "run", "left", "right").mapInPandas(windows, packed)
+    return exchanged(exchanged(first, repeated, packed), gathered, "anchor long, run long, ranges array<int>")
 
 
 def brought(docs: DataFrame, classes: DataFrame) -> DataFrame:
