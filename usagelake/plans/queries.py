@@ -341,7 +341,7 @@ def normalize_project(spark, sf_dir):
     return a.read(spark, sf_dir, "events", "event_id", "event_type").select("event_id", text.normalize_project(project).alias("project"), text.normalize_language(language_).alias("language"))
 
 
-@query(f"with {KS}, r as (select event_id, case event_id % 5 when 0 then 1700000000 + k when 1 then (1700000000 + k) * 1000 when 2 then (1700000000 + k) * 1000000 when 3 then (1700000000 + k) * 1000000000 else 0 end raw, k from ks) select event_id, case when raw > 0 then 1700000000 + k end "seconds" from r")
+@query(f"with {KS}, r as (select event_id, case event_id % 5 when 0 then 1700000000 + k when 1 then (1700000000 + k) * 1000 when 2 then (1700000000 + k) * 1000000 when 3 then (1700000000 + k) * 1000000000 else 0 end raw, k from ks) select event_id, case when raw > 0 then 1700000000 + k end as seconds from r")
 def timestamp_scalar(spark, sf_dir):
     n, base_ = F.col("event_id") % 5, F.col("k") + 1_700_000_000
     raw = F.when(n == 0, base_).when(n == 1, base_ * 1000).when(n == 2, base_ * 1_000_000).when(n == 3, base_ * 1_000_000_000).otherwise(0)
