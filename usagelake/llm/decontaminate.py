@@ -3,9 +3,9 @@
 Test items are cut into segments of at most SEGMENT words; those are the documents of a small inverted index
 with BM25 weights, each divided by the segment's score for itself, so that 1 is a full match. Postings lie in blocks that
 know their greatest weight. Each training text is cut into passages of PASSAGE words, a new one every STEP
-words, over the whole text; a passage is a query of its distinct words. Passages whose words can't add up to
-the threshold are dropped by a running sum; the others run block-max WAND, which returns every segment at or
-above the threshold. A hit is verified on the text around the passage: enough of the question's word n-grams, and
+words, over the whole text; a passage is a query of its distinct words. The segments lie in at most BLOCKS ranges
+too; ranges in which the greatest weights of a passage's words don't add up to the threshold are dropped for all
+passages of a text at once. In the others block-max WAND returns every segment at or above the threshold. A hit is verified on the text around the passage: enough of the question's word n-grams, and
 of the answer's, must occur there. An item without columns of its own for them is read so: what follows
 its last question mark, else nothing, is the answer.
 
@@ -35,6 +35,7 @@ from usagelake.llm.common import without
 SEGMENT, PASSAGE, STEP = 48, 64, 32
 BLOCK_CHARS = 8_000_000
 POSTINGS = 64  #: of a block
+BLOCKS = 64  #: ranges of segments
 K1, B = 1.2, 0.75
 HITS = "array<struct<item:bigint, score:double, question_overlap:double, answer_overlap:double, first_word:bigint>>"
 SEPARATORS = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
@@ -64,7 +65,9 @@ class Index:
     postings: list[list[int]] = field(default_factory=list)  #: segments of each term, rising
     weights: list[list[float]] = field(default_factory=list)
     blocks: list[list[tuple[int, float]]] = field(default_factory=list)  #: last segment and greatest weight of each block
-    most: np.ndarray = field(default_factory=lambda: np.zeros(1))  #: greatest weight of each term, and 0 for no term
+    most: list[float] = field(default_factory=list)  #: greatest weight of each term
+    edges: list[int] = field(default_factory=list)  #: first segment of each range, and the end
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))  #: greatest weight of each term in each range; last row: no term
 
     @staticmethod
     def build(items: list[tuple[list[bytes], list[bytes]]]) -> Index:
@@ -91,14 +94,23 @@ class Index:
                 index.postings[term].append(segment)
                 index.weights[term].append(x / own)
         index.blocks = [[(p[min(i + POSTINGS, len(p)) - 1], max(w[i : i + POSTINGS])) for i in range(0, len(p), POSTINGS)] for p, w in zip(index.postings, index.weights, strict=True)]
-        index.most = np.array([max(w) for w in index.weights] + [0.0])
+        index.most = [max(w) for w in index.weights]
+        n = min(BLOCKS, max(1, -(-len(bags) // 4)))
+        index.edges = [len(bags) * k // n for k in range(n + 1)]
+        index.bounds = np.zeros((len(index.terms) + 1, n), np.float32)
+        ranges = np.searchsorted(index.edges, np.arange(len(bags)), "right") - 1
+        for term, (segments, weights) in enumerate(zip(index.postings, index.weights, strict=True)):
+            np.maximum.at(index.bounds[term], ranges[segments], weights)
         return index
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All segments whose score for the distinct terms reaches the threshold, by block-max WAND."""
+    def search(self, terms: list[int], threshold: float, low: int, high: int) -> list[tuple[int, float]]:
+        """All segments from low to before high whose score for the distinct terms reaches the threshold, by block-max WAND."""
         slack = threshold - 1e-9
-        cursors = [[self.postings[t][0], t, 0] for t in terms]  # segment, term, place
-        found = []
+        cursors, found = [], []  # segment, term, place
+        for t in terms:
+            at = bisect_left(self.postings[t], low)
+            if at < len(self.postings[t]) and self.postings[t][at] < high:
+                cursors.append([self.postings[t][at], t, at])
         while cursors:
             cursors.sort()
             total, pivot = 0.0, -1
@@ -133,7 +145,7 @@ class Index:
             for c in cursors:
                 if c[0] < target:
                     c[2] = bisect_left(self.postings[c[1]], target, c[2])
-                    if c[2] == len(self.postings[c[1]]):
+                    if c[2] == len(self.postings[c[1]]) or self.postings[c[1]][c[2]] >= high:
                         continue
                     c[0] = self.postings[c[1]][c[2]]
                 moved.append(c)
@@ -147,24 +159,30 @@ class Index:
             return []
         none = len(self.terms)
         ids = np.fromiter((self.terms.get(w, none) for w in words), np.int64, len(words))
-        sums = np.concatenate([[0.0], np.cumsum(self.most[ids])])
-        starts = np.arange(0, max(1, len(words) - PASSAGE + STEP), STEP)
         best: dict[int, tuple] = {}
-        for start in starts[sums[np.minimum(starts + PASSAGE, len(words))] - sums[starts] >= threshold - 1e-9].tolist():
-            terms = [int(t) for t in np.unique(ids[start : start + PASSAGE]) if t != none]
-            if self.most[terms].sum() < threshold - 1e-9:
-                continue
-            for segment, score in self.search(terms, threshold):
-                item = self.of[segment]
-                around = n_grams_around(words, start, self.lengths[item])
-                question, answer = (share(part, around, n) for part in self.items[item])
-                if min(question, answer) >= overlap and (item not in best or score > best[item][1]):
-                    best[item] = (item, score, question, answer, start)
+        for first in range(0, max(1, len(words) - STEP), STEP * 256):
+            # Sums over steps of words, then over the steps of each passage; a word that repeats counts again.
+            part = self.bounds[ids[first : first + STEP * 256 + PASSAGE - STEP]]
+            steps = np.add.reduceat(part, np.arange(0, len(part), STEP), 0)
+            sums = sum(steps[k : len(steps) - PASSAGE // STEP + 1 + k] for k in range(PASSAGE // STEP)) if len(steps) >= PASSAGE // STEP else steps.sum(0, keepdims=True)
+            for passage, block in np.argwhere(sums >= threshold - 1e-4).tolist():
+                start = first + passage * STEP
+                terms = np.unique(ids[start : start + PASSAGE])
+                if self.bounds[terms, block].sum() < threshold - 1e-4:
+                    continue
+                for segment, score in self.search([int(t) for t in terms if t != none], threshold, self.edges[block], self.edges[block + 1]):
+                    self.verify(best, words, start, segment, score, overlap, n)
         return [best[i] for i in sorted(best)]
 
-
-def n_grams_around(words: list[bytes], start: int, margin: int) -> list[bytes]:
-    return words[max(0, start - margin) : start + PASSAGE + margin]
+    def verify(self, best: dict[int, tuple], words: list[bytes], start: int, segment: int, score: float, overlap: float, n: int) -> None:
+        """Puts a hit into best, if the words around the passage hold enough of the item's question and answer."""
+        item = self.of[segment]
+        if item in best and score <= best[item][1]:
+            return
+        around = words[max(0, start - self.lengths[item]) : start + PASSAGE + self.lengths[item]]
+        question, answer = (share(part, around, n) for part in self.items[item])
+        if min(question, answer) >= overlap:
+            best[item] = (item, score, question, answer, start)
 
 
 def share(part: list[bytes], around: list[bytes], n: int) -> float:
