@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,7 +31,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table.written_at = path
+    return table
+
+
+def replaced(old: DataFrame, df: DataFrame, name: str) -> DataFrame:
+    """df, made from the written table old, written in its turn; old goes, and so do the shuffle files that only it
+    and df's own plan needed, which Spark frees once the driver has forgotten their plans."""
+    new = written(df, name)
+    spark, path = df.sparkSession, old.written_at
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    del df, old
+    gc.collect()
+    spark._jvm.System.gc()
+    return new
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

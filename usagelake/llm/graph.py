@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.llm.common import written
+from usagelake.llm.common import replaced, written
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
+def _one_round(edges: DataFrame) -> DataFrame:
+    both = _with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+    return _with_least(large).select(ends.alias("e")).select("e.*").where("u <> v").distinct()
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """node, component: the least node reachable, for each node of an edge table of two long columns.
 
@@ -22,11 +29,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, seen = written(e, "edges"), None
     for _ in range(max_rounds):
-        both = _with_least(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        low = _with_least(large)
-        small = low.select(F.col("u"), F.col("m").alias("v")).unionByName(low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = written(small, "edges")
+        e = replaced(e, _one_round(e), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
