@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from usagelake.functions.binding import let
 from usagelake.functions.paths import base, extension
 
 UNKNOWN = "Unknown"
@@ -198,8 +199,8 @@ def is_header(path: Column) -> Column:
 
 def language_of(path: Column) -> Column:
     """By file name first, then by extension; a header counts as C here."""
-    name = normalized_base(path)
-    return F.coalesce(F.try_element_at(_lookup(FILE_NAMES), name), F.try_element_at(_lookup({**EXTENSIONS, ".h": "C"}), extension(name)), F.lit(UNKNOWN))
+    known = lambda name: F.coalesce(F.try_element_at(_lookup(FILE_NAMES), name), F.try_element_at(_lookup({**EXTENSIONS, ".h": "C"}), extension(name)), F.lit(UNKNOWN))
+    return let(normalized_base(path), known)
 
 
 def clean_path_token(token: Column) -> Column:

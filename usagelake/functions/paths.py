@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from usagelake.functions.binding import let
+
 
 def is_absolute(path: Column) -> Column:
     return path.startswith("/")
@@ -12,6 +14,10 @@ def is_absolute(path: Column) -> Column:
 
 def clean(path: Column) -> Column:
     """The shortest equal path: no empty or "." parts, ".." resolved where it can be; "" becomes "."."""
+    return let(path, _clean)
+
+
+def _clean(path: Column) -> Column:
     rooted = is_absolute(path)
     start = F.array().cast("array<string>")
 
@@ -25,14 +31,14 @@ def clean(path: Column) -> Column:
 
 def join(parent: Column, child: Column) -> Column:
     """Clean path of child under parent; empty parts are skipped, and all empty give ""."""
-    both = F.when(parent == "", child).when(child == "", parent).otherwise(F.concat_ws("/", parent, child))
-    return F.when(both == "", F.lit("")).otherwise(clean(both))
+    both = F.array_join(F.filter(F.array(parent, child), lambda x: x != ""), "/")
+    return let(both, lambda p: F.when(p == "", F.lit("")).otherwise(_clean(p)))
 
 
 def base(path: Column) -> Column:
     """Last element, without trailing slashes; "" gives ".", only slashes give "/"."""
-    bare = F.regexp_replace(path, "/+$", "")
-    return F.when(path == "", F.lit(".")).when(bare == "", F.lit("/")).otherwise(F.element_at(F.split(bare, "/"), -1))
+    last = lambda p: F.element_at(F.split(F.regexp_replace(p, "/+$", ""), "/"), -1)
+    return let(path, lambda p: F.when(p == "", F.lit(".")).when(last(p) == "", F.lit("/")).otherwise(last(p)))
 
 
 def parent(path: Column) -> Column:
@@ -47,11 +53,19 @@ def extension(path: Column) -> Column:
 
 def relative(root: Column, path: Column) -> Column:
     """path seen from root, both absolute or both relative; with ".." parts where it lies elsewhere."""
+    return let(F.struct(root.alias("r"), path.alias("p")), lambda s: _relative(s["r"], s["p"]))
+
+
+def _relative(root: Column, path: Column) -> Column:
     a, b = F.filter(F.split(clean(root), "/"), lambda x: ~x.isin("", ".")), F.filter(F.split(clean(path), "/"), lambda x: ~x.isin("", "."))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: _steps(s["a"], s["b"]))
+
+
+def _steps(a: Column, b: Column) -> Column:
     shorter = F.least(F.size(a), F.size(b))
     same = F.aggregate(F.sequence(F.lit(0), shorter), F.lit(0), lambda n, i: F.when((i == n) & (i < shorter) & (F.try_element_at(a, i + 1) == F.try_element_at(b, i + 1)), n + 1).otherwise(n))
-    parts = F.concat(F.array_repeat(F.lit(".."), F.size(a) - same), F.slice(b, same + 1, F.size(b)))
-    return F.when(F.size(parts) == 0, F.lit(".")).otherwise(F.array_join(parts, "/"))
+    parts = let(same, lambda n: F.concat(F.array_repeat(F.lit(".."), F.size(a) - n), F.slice(b, n + 1, F.size(b))))
+    return let(parts, lambda p: F.when(F.size(p) == 0, F.lit(".")).otherwise(F.array_join(p, "/")))
 
 
 def ancestors(path: Column) -> Column:
@@ -62,19 +76,21 @@ def ancestors(path: Column) -> Column:
 
 
 def resolve_path(cwd: Column, path: Column) -> Column:
-    return F.when(path == "", F.lit("")).when(is_absolute(path), clean(path)).when(F.trim(cwd) == "", path).otherwise(join(cwd, path))
+    return let(F.trim(path), lambda p: F.when(p == "", F.lit("")).when(is_absolute(p), _clean(p)).when(F.trim(cwd) == "", p).otherwise(join(cwd, p)))
 
 
 def project_from_cwd(cwd: Column) -> Column:
     """struct(project, project_path) of an absolute working directory other than the root, else empty."""
-    path = clean(F.trim(cwd))
-    usable = is_absolute(F.trim(cwd)) & (path != "/")
-    return F.struct(F.when(usable, base(path)).otherwise(F.lit("")).alias("project"), F.when(usable, path).otherwise(F.lit("")).alias("project_path"))
+    usable = lambda p: is_absolute(p) & (p != "/")
+    return let(clean(F.trim(cwd)), lambda p: F.struct(F.when(usable(p), base(p)).otherwise(F.lit("")).alias("project"), F.when(usable(p), p).otherwise(F.lit("")).alias("project_path")))
 
 
 def relative_entity(project_path: Column, entity: Column) -> Column:
     """The entity inside its project; its bare name where it lies outside or no project is known."""
-    root, path = F.trim(project_path), F.trim(entity)
-    inside = relative(root, path)
+    both = F.struct(F.trim(project_path).alias("r"), F.trim(entity).alias("p"))
+    return let(both, lambda s: let(_relative(s["r"], s["p"]), lambda inside: _entity(s["r"], s["p"], inside)))
+
+
+def _entity(root: Column, path: Column, inside: Column) -> Column:
     able = (root != "") & (is_absolute(root) == is_absolute(path)) & (inside != "..") & ~inside.startswith("../")
     return F.when(path == "", F.lit("")).when(able, inside).otherwise(base(path))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from usagelake.functions.binding import let
+
 UNKNOWN = "Unknown"
 
 # Names of operating systems and of the clients that providers report.
@@ -17,16 +19,15 @@ CLIENTS = {
 
 def first_non_empty(*values: Column) -> Column:
     """The first value that isn't blank, trimmed; "" if none is."""
-    return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values], F.lit(""))
+    return F.coalesce(*[let(F.trim(v), lambda x: F.when(x != "", x)) for v in values], F.lit(""))
 
 
 def normalize_project(project: Column) -> Column:
-    name = F.trim(F.coalesce(project, F.lit("")))
-    return F.when(F.lower(name).isin("", "unknown"), F.lit(UNKNOWN)).otherwise(name)
+    return let(F.trim(F.coalesce(project, F.lit(""))), lambda name: F.when(F.lower(name).isin("", "unknown"), F.lit(UNKNOWN)).otherwise(name))
 
 
 def normalize_language(language: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(language), F.lit("")), F.lit(UNKNOWN))
+    return F.coalesce(let(F.trim(language), lambda x: F.when(x != "", x)), F.lit(UNKNOWN))
 
 
 def _named(table: dict[str, str], key: Column) -> Column:
@@ -39,15 +40,14 @@ def normalize_os(system: Column) -> Column:
 
 def normalize_client(provider: Column, token: Column) -> Column:
     """A product's name for the token a provider reports; unknown tokens stay, trimmed."""
-    key = F.lower(F.trim(token))
-    known = F.coalesce(*[F.when(provider == p, _named(names, key)) for p, names in CLIENTS.items()])
-    return F.coalesce(known, F.trim(token))
+    known = lambda t: F.coalesce(*[F.when(provider == p, _named(names, F.lower(t))) for p, names in CLIENTS.items()], t)
+    return let(F.trim(token), known)
 
 
 def count_lines(content: Column) -> Column:
     """Lines of a text; an ending line feed adds none."""
-    feeds = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit("")))
-    return F.when(content == "", F.lit(0)).otherwise(feeds + F.when(content.endswith("\n"), 0).otherwise(1)).cast("long")
+    feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    return let(content, lambda c: F.when(c == "", F.lit(0)).otherwise(feeds(c) + F.when(c.endswith("\n"), 0).otherwise(1)).cast("long"))
 
 
 def is_semver_prefix(version: Column) -> Column:

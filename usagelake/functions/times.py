@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from usagelake.functions.binding import let
+
 # Scalars from these sizes on are nanoseconds, microseconds, milliseconds, else seconds.
 NANOS, MICROS, MILLIS = 10**17, 10**14, 10**11
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
@@ -12,13 +14,19 @@ RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
 
 def from_scalar(value: Column) -> Column:
     """Timestamp of a whole number whose size tells its unit; null for 0 and less."""
-    v = value.cast("decimal(20,0)")
+    return let(value.cast("decimal(20,0)"), _from_scalar)
+
+
+def _from_scalar(v: Column) -> Column:
     millis = F.when(v >= NANOS, F.floor(v / 1_000_000)).when(v >= MICROS, F.floor(v / 1_000)).when(v >= MILLIS, v).otherwise(v * 1_000)
     return F.when(v > 0, F.timestamp_millis(F.least(millis.cast("decimal(24,0)"), F.lit(253402300799999).cast("decimal(24,0)")).cast("long")))
 
 
 def from_float(value: Column) -> Column:
-    v = value.cast("double")
+    return let(value.cast("double"), _from_float)
+
+
+def _from_float(v: Column) -> Column:
     usable = (v > 0) & ~F.isnan(v) & (v < 9e15)
     return F.when(usable, F.timestamp_millis(F.when(v < MILLIS, F.floor(v * 1000)).otherwise(F.floor(v)).cast("long")))
 
@@ -30,7 +38,10 @@ def from_parts(seconds: Column, nanos: Column) -> Column:
 
 def parse_timestamp(text: Column) -> Column:
     """A strict RFC 3339 text, else a number by from_scalar or from_float, else null."""
-    t = F.trim(text)
+    return let(F.trim(text), _parse_timestamp)
+
+
+def _parse_timestamp(t: Column) -> Column:
     whole, number = t.rlike(r"^\+?\d{1,20}$"), t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
     return F.when(t.rlike(RFC3339), F.try_to_timestamp(t)).when(whole, from_scalar(F.when(whole, t).cast("decimal(20,0)"))).when(number, from_float(F.when(number, t).cast("double")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from usagelake.functions.binding import let
 from usagelake.functions.text import first_non_empty
 from usagelake.functions.times import parse_timestamp
 from usagelake.functions.tokens import counter, first_positive
@@ -12,8 +13,7 @@ from usagelake.functions.tokens import counter, first_positive
 
 def parsed(text: Column) -> Column:
     """The JSON object of a text as a variant; null for malformed text and for anything but an object."""
-    v = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    return let(F.try_parse_json(text), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
 def kind(v: Column, path: str) -> Column:
@@ -22,13 +22,17 @@ def kind(v: Column, path: str) -> Column:
 
 def text(v: Column, *paths: str) -> Column:
     """The first path that holds a non-blank string or a number, trimmed; "" if none does."""
-    own = [F.when(~kind(v, p).rlike("^(OBJECT|ARRAY|BOOLEAN|VOID)"), F.try_variant_get(v, p, "string")) for p in paths]
-    return first_non_empty(*own)
+    return first_non_empty(*[_plain(v, p) for p in paths])
+
+
+def _plain(v: Column, path: str) -> Column:
+    """A string or number as text, else null."""
+    return let(F.try_variant_get(v, path, "variant"), lambda x: F.when(~F.schema_of_variant(x).rlike("^(OBJECT|ARRAY|BOOLEAN|VOID)"), F.try_variant_get(x, "$", "string")))
 
 
 def count(v: Column, *paths: str) -> Column:
     """The first path that holds a counter above 0; else 0."""
-    return first_positive(*[counter(F.when(~kind(v, p).rlike("^(OBJECT|ARRAY|BOOLEAN|VOID)"), F.try_variant_get(v, p, "string"))) for p in paths])
+    return first_positive(*[counter(_plain(v, p)) for p in paths])
 
 
 def time(v: Column, *paths: str) -> Column:

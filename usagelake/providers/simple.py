@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelake.functions import variants as v
+from usagelake.functions.binding import let
 from usagelake.functions.paths import base
 from usagelake.functions.text import first_non_empty
 from usagelake.functions.times import from_float, parse_timestamp
@@ -36,8 +37,7 @@ def stem(path: Column) -> Column:
 
 def after(parts: Column, name: str, offset: int = 1) -> Column:
     """The path part `offset` places after the first part called name; null if there is none."""
-    at = F.array_position(parts, name)
-    return F.when(at > 0, F.try_element_at(parts, (at + offset).cast("int")))
+    return let(parts, lambda p: let(F.array_position(p, name), lambda at: F.when(at > 0, F.try_element_at(p, (at + offset).cast("int")))))
 
 
 # qwen

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from usagelake.functions.ids import COUNTERS
 
@@ -17,9 +16,9 @@ COLUMNS = {
     "branch": "string", "editor": "string", "category": "string", "is_write": "boolean", "lines_added": "bigint", "lines_removed": "bigint",
     "files": FILES, "raw": "map<string,string>", "usage": USAGE,
 }
-USAGE_EVENT = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in COLUMNS.items()))
-QUEUE = StructType.fromDDL("id string, ts bigint, payload string, status string, attempt_count int, next_attempt_at bigint, uploaded_at bigint, last_error string, lease_until bigint")
-SCAN_STATE = StructType.fromDDL("path string, size bigint, mtime_ns bigint, offset bigint")
+USAGE_EVENT = ", ".join(f"`{n}` {t}" for n, t in COLUMNS.items())
+QUEUE = "id string, ts bigint, payload string, status string, attempt_count int, next_attempt_at bigint, uploaded_at bigint, last_error string, lease_until bigint"
+SCAN_STATE = "path string, size bigint, mtime_ns bigint, offset bigint"
 
 
 def empty_events(spark: SparkSession) -> DataFrame:
