@@ -89,4 +89,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_vector_topk": op10_vector_topk,
 }
-ORACLES: dict[str, str] = {}
+#: Exact integers and ties, so SQL can say the same.
+TOP_K = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+p as (select q.vec_id query_id, v.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i]))::bigint score from v q join v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id and len(q.e) = len(v.e)),
+r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int "rank", vec_id, score from p)
+select query_id, "rank", vec_id, score from r where "rank" <= 5"""
+
+#: Sets of shingles by word arrays; linked sets share one of the rarest shingles of both; components by a recursive walk.
+NEAR = """with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') a from documents),
+s as (select doc_id, case when len(a) = 0 then [] when len(a) < 3 then [array_to_string(a, ' ')] else list_distinct(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) end g from w),
+c as (select min(doc_id) id, list_sort(g) g from s where len(g) > 0 group by list_sort(g)),
+x as (select id, len(g) n, unnest(g) t from c),
+f as (select *, count(*) over (partition by t) often from x),
+head as (select * from f qualify row_number() over (partition by id order by often, t) <= n - ceil(n * 85 / 100.0) + 1),
+cand as (select distinct l.id a, r.id b from head l join head r using (t) where l.id < r.id and 100 * least(l.n, r.n) >= 85 * greatest(l.n, r.n)),
+links as (select a, b from (select a, b, len(list_intersect(p.g, q.g)) i, len(p.g) + len(q.g) m from cand join c p on p.id = a join c q on q.id = b) where 100 * i >= 85 * (m - i)),
+both_ways as (select a, b from links union select b, a from links),
+walk as (select id node, id reach from c union select node, b from walk join both_ways on reach = a),
+comp as (select node, min(reach) component_id from walk group by node)
+select doc_id, len(s.g)::bigint n_shingles, coalesce(component_id, doc_id) component_id, doc_id = coalesce(component_id, doc_id) kept from s left join c on list_sort(s.g) = c.g left join comp on comp.node = c.id"""
+
+#: The same water level, schedule and blocks as llm.mixing makes, over whole sources at once.
+MIXING = """with d as (select row_number() over () rid, doc_id, coalesce('s' || source, '~null') sk, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
+  md5('mix:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))) place from documents),
+t0 as (select sk, sum(size)::bigint ss from d group by sk),
+t1 as (select *, case (row_number() over (order by sk) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end w, ss * 2 cap, (sum(ss) over ())::bigint * 1.5::double wanted from t0),
+t2 as (select *, coalesce(sum(cap) over (order by cap::double / w, sk rows between unbounded preceding and 1 preceding), 0)::bigint below, (sum(w) over (order by cap::double / w, sk rows between current row and unbounded following))::bigint onward from t1),
+t3 as (select *, cap * onward <= w * (wanted - below) is_full from t2),
+t4 as (select *, coalesce(sum(case when is_full then cap end) over (), 0)::bigint caps, (sum(case when not is_full then w end) over ())::bigint open_w from t3),
+t5 as (select *, case when is_full then cap::double else w * (wanted - caps) / open_w end target from t4),
+p as (select d.*, t5.ss, t5.target, round(t5.target)::bigint words, coalesce(sum(size) over (partition by d.sk order by place rows between unbounded preceding and 1 preceding), 0)::bigint at_ from d join t5 using (sk))
+select doc_id, size, ss source_size, target, greatest(0, least(size, words - at_)) + greatest(0, least(size, words - at_ - ss)) taken from p"""
+
+ORACLES: dict[str, str] = {"op10_vector_topk": TOP_K, "op7_mixing": MIXING, "op5_near_dedup": NEAR}
