@@ -258,9 +258,10 @@ def test_line_dedup_links_what_is_near_in_bits_and_words(spark, bucket, monkeypa
             u = list(base)
             u[rng.randrange(80)] = f"edit{rng.randrange(9)}"
             lines.append(" ".join(u))
-    classes = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "class bigint, line string").withColumn("code", line_dedup.code_of(F.col("line")))
+    table = docs(spark, lines)
+    classes = table.select(F.col("doc_id").alias("class"), F.struct("doc_id", F.xxhash64("text").alias("key"), F.lit(0).alias("number")).alias("one"), line_dedup.code_of(F.split("text", " ")).alias("code"))
     code = {r["class"]: r.code for r in classes.collect()}
-    found = {frozenset((r.a, r.b)) for r in line_dedup.line_links(classes, 0.8).collect()}
+    found = {frozenset((r.a, r.b)) for r in line_dedup.line_links(table.select("doc_id", "text"), classes, 0.8).collect()}
     want = {frozenset((i, j)) for i, j in itertools.combinations(range(len(lines)), 2) if bin((code[i] ^ code[j]) % 2**64).count("1") <= 3 and i // 12 == j // 12}
     comps = lambda edges: sorted(map(sorted, joined(edges)))
     assert comps(found) == comps(want)
