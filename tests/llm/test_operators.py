@@ -267,6 +267,39 @@ def test_line_dedup_links_what_is_near_in_bits_and_words(spark, bucket, monkeypa
     assert comps(found) == comps(want)
 
 
+def word_edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, p in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, q in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
+    return row[-1]
+
+
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_line_dedup_finds_all_lines_at_the_similarity(spark, bucket, monkeypatch):
+    from usagelake.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BUCKET", bucket)
+    rng = random.Random(14)
+    lines = []
+    for n in (5, 6, 10, 14, 20, 33, 60):
+        for _ in range(3):
+            group = [words(rng, n, 60).split()]
+            for _ in range(4):
+                u = list(rng.choice(group))
+                for _ in range(rng.randrange(1, n // 5 + 2)):
+                    at = rng.randrange(len(u))
+                    u[at : at + rng.randrange(2)] = [f"w{rng.randrange(60)}"] * rng.randrange(2)
+                group += [u] * (len(u) >= 5)
+            lines += group
+    lines += [["a"] * 5, ["a"] * 4 + ["b"], ["a"] * 6, ["c", "d"] * 10, ["c", "d"] * 9 + ["c"]]
+    links = {frozenset((i, j)) for i, j in itertools.combinations(range(len(lines)), 2) if 5 * word_edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))}
+    gone = {i for group in joined(links) for i in group if i != min(group)}
+    rows = without_repeated_lines(docs(spark, [" ".join(u) for u in lines])).collect()
+    assert {r.doc_id for r in rows if r.n_removed} == gone and len(gone) > 30
+
+
 def joined(edges):
     groups = []
     for e in edges:
