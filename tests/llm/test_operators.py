@@ -300,6 +300,26 @@ def test_line_dedup_finds_all_lines_at_the_similarity(spark, bucket, monkeypatch
     assert {r.doc_id for r in rows if r.n_removed} == gone and len(gone) > 30
 
 
+@pytest.mark.parametrize("by", ["words", "bits"])
+def test_line_dedup_links_classes_closed_by_different_pivots(spark, by, monkeypatch):
+    from usagelake.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BUCKET", 2)
+    # Classes 0 and 1 become pivots; 2 closes with 0, 3 with 1, and only the link of 2 and 3 joins all four.
+    chain = [0, 2, 3, 1]
+    lines, code, row = {}, {}, "a b c d e f g h i j".split()
+    for k, c in enumerate(chain):
+        lines[c], code[c] = " ".join(row), (1 << 3 * k) - 1
+        row[2 * k : 2 * k + 2] = [f"x{k}", f"y{k}"]
+    table = docs(spark, [lines[c] for c in range(4)])
+    where = F.struct("doc_id", F.xxhash64("text").alias("key"), F.lit(0).alias("number")).alias("one")
+    codes = F.element_at(F.array(*[F.lit(code[c]).cast("bigint") for c in range(4)]), (F.col("doc_id") + 1).cast("int"))
+    keys = F.struct(F.lit(10).alias("n"), F.array(*[F.lit(k).cast("bigint") for k in range(1, 5)]).alias("first"), F.lit(0).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("high"))
+    classes = table.select(F.col("doc_id").alias("class"), where, codes.alias("code"), keys.alias("keys"))
+    links = (line_dedup.edit_links if by == "words" else line_dedup.line_links)(table.select("doc_id", "text"), classes, 0.8).collect()
+    assert [set(g) for g in joined({frozenset((r.a, r.b)) for r in links})] == [{0, 1, 2, 3}]
+
+
 def joined(edges):
     groups = []
     for e in edges:
