@@ -320,6 +320,16 @@ def test_line_dedup_links_classes_closed_by_different_pivots(spark, by, monkeypa
     assert [set(g) for g in joined({frozenset((r.a, r.b)) for r in links})] == [{0, 1, 2, 3}]
 
 
+def test_line_dedup_takes_short_and_unspaced_lines(spark, tmp_path):
+    from usagelake.llm.queries import op4_line_dedup
+
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(30))
+    texts = ["All rights reserved\nok\n\n---", "all rights reserved.\nOK\n\n---", han, han[:10] + "\u4e01" + han[11:], "all rights preserved"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.n_removed for r in op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert rows == {0: 0, 1: 2, 2: 0, 3: 1, 4: 0}
+
+
 def joined(edges):
     groups = []
     for e in edges:

@@ -20,7 +20,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from usagelake.llm.line_dedup import without_repeated_lines
 
-    rows = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
