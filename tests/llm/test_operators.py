@@ -280,7 +280,7 @@ def word_edits(x, y):
 def test_line_dedup_finds_all_lines_at_the_similarity(spark, bucket, monkeypatch):
     from usagelake.llm import line_dedup
 
-    monkeypatch.setattr(line_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(line_dedup, "SHARED", bucket)
     rng = random.Random(14)
     lines = []
     for n in (5, 6, 10, 14, 20, 33, 60):
@@ -305,6 +305,7 @@ def test_line_dedup_links_classes_closed_by_different_pivots(spark, by, monkeypa
     from usagelake.llm import line_dedup
 
     monkeypatch.setattr(line_dedup, "BUCKET", 2)
+    monkeypatch.setattr(line_dedup, "SHARED", 2)
     # Classes 0 and 1 become pivots; 2 closes with 0, 3 with 1, and only the link of 2 and 3 joins all four.
     chain = [0, 2, 3, 1]
     lines, code, row = {}, {}, "a b c d e f g h i j".split()
