@@ -398,6 +398,20 @@ def test_main_text(main, want):
         assert "A first paragraph" in found and "A second paragraph" in found
 
 
+@pytest.mark.parametrize(
+    "start",
+    ["<div style='overflow:hidden'>", "<div title='hidden gems'>", "<div data-id='ad'>", "<div class='content has-sidebar'>", "<div class=no-sidebar>", "<div class='post-with-comments'>", "<div class='ad-free'>", "<div class=widget>"],
+)
+def test_names_in_other_attributes_and_around_articles_cut_nothing(start):
+    page = PAGE.format(main=start + "<h1>Head</h1><p>A first paragraph of some length, with many words in it.</p><p>A second paragraph of some length, with more.</p></div>")
+    found = main_text(page)
+    assert "A first paragraph" in found and "A second paragraph" in found and not any(x in found for x in ("Menu", "Buy now", "First!"))
+
+
+def test_hidden_elements_stay_cut():
+    assert main_text(PAGE.format(main="<article><p>Text of it.</p><div hidden>x</div><div aria-hidden=true>y</div><p role='alert'>z</p><p class='ad-slot'>q</p></article>")) == "Text of it."
+
+
 def test_extraction_of_odd_pages(spark):
     pages = [None, "", "plain text", "<p>unclosed", "<<<>", "<div" * 3000 + ">x", "<p>" + "long word " * 50_000, "<b><i>" * 5000 + "deep", "a &am &amp &#x41; b", "<!-- open", "<p class=\"a>b\">q</p>"]
     table = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages + pages)], "page_id bigint, url string, html string").withColumn("Text", F.lit("clash"))

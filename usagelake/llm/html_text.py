@@ -2,7 +2,8 @@
 
 Each page becomes a tree. Elements that never hold article text (scripts, styles, forms, navigation,
 page headers and footers, asides, and elements whose role, class or id names an advert, menu, sidebar,
-notice or comment list) are cut off first. Every remaining element gets its composite density: its
+notice or comment list) are cut off first; one cut off by class or id alone comes back if it holds the densest
+part of the page and its heading. Every remaining element gets its composite density: its
 characters per tag, adjusted by how much of both lies in links. The element whose children's densities
 have the greatest sum is the content; the least density on its path from body is the threshold that
 decides which enclosing elements belong to it too. What is left of that element is emitted block by block.
@@ -33,19 +34,21 @@ CLOSES_P = BLOCK - frozenset("body html tbody td tfoot th thead tr caption".spli
 NEVER_TEXT = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object svg canvas audio video dialog menu".split())
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NEVER_NAME = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner banners sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay comment comments commentlist disqus respond replies reply share sharing social newsletter subscribe signup login related recommended widget pagination pager toolbar skip hidden".split())
+LAYOUT = frozenset("has no with without".split())
 NAME_PART = re.compile(r"[A-Za-z0-9]+")
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[A-Za-z/!?])[^<]*\Z", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "never")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "never", "named")
 
     def __init__(self, tag: str, parent: Node | None, never: bool = False) -> None:
         self.tag, self.parent, self.never = tag, parent, never
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.named = ""  #: how class or id names what never holds text: "", "part" or "whole"
 
 
 def is_never(tag: str, attributes: str, in_article: bool) -> bool:
@@ -59,11 +62,28 @@ def is_never(tag: str, attributes: str, in_article: bool) -> bool:
         value, name = "".join(values).lower(), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in NEVER_ROLE):
             return True
-        if name in ("class", "id") and any(part in NEVER_NAME for part in NAME_PART.findall(value)):
-            return True
     return False
 
 
+def name_of(tag: str, attributes: str) -> str:
+    """Whether class or id holds a name of NEVER_NAME as a "whole" name, as a "part" of one, or not ("").
+
+    A name that says that its element has, or lacks, such a part ("has-sidebar") is none.
+    """
+    if not attributes or tag in ("html", "body", "main") or (tag == "article" and "comment" not in attributes.lower()):
+        return ""
+    found = ""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for word in "".join(values).lower().split():
+                if word in NEVER_NAME:
+                    return "whole"
+                parts = NAME_PART.findall(word)
+                if any(part in NEVER_NAME and not (k and set(parts[:k]) & LAYOUT) for k, part in enumerate(parts)):
+                    found = "part"
+    return found
+
+
 def parse(page: str) -> Node:
     root = here = Node("#root", None)
     depth: dict[str, int] = {}
@@ -122,6 +142,8 @@ def parse(page: str) -> Node:
             here.children.append(" ") if tag == "br" else here.children.append(Node(tag, here))
             continue
         node = Node(tag, here, is_never(tag, attributes, bool(depth.get("article") or depth.get("main"))))
+        if not node.never and (named := name_of(tag, attributes)):
+            node.never, node.named = True, named
         here.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -147,6 +169,8 @@ def measure(root: Node, body: Node) -> list[Node]:
     nodes = in_post_order(root)
     for node in nodes:
         link = node.tag == "a"
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
         for x in node.children:
             if isinstance(x, str):
                 node.chars += len("".join(x.split()))
@@ -167,12 +191,56 @@ def measure(root: Node, body: Node) -> list[Node]:
     return nodes
 
 
+INLINE = ("a", "b", "i", "em", "strong", "span", "u", "font", "small")
+HEADING = ("h1", "article", "main")
+
+
+def restore(root: Node) -> None:
+    """Puts elements back that class or id cut off, if they hold the densest part of the page and its heading.
+
+    One with such a name as a part of another also comes back if the page has no heading at all.
+    """
+    stack, named = [root], []
+    while stack:
+        node = stack.pop()
+        if node.named:
+            named.append(node)
+        stack += [x for x in node.children if isinstance(x, Node) and (x.named or not x.never)]
+    if not named:
+        return
+    body = next((n for n in in_post_order(root) if n.tag == "body"), root)
+    outside = [n for n in measure(root, body) if n.tag not in INLINE]
+    headed, most = any(n.tag in HEADING for n in outside), max((n.total for n in outside), default=0.0)
+    for node in named:
+        node.never = False
+    # What isn't cut off holds named elements, too, whose densities are none of its own.
+    known = {id(n) for n in outside}
+    at = max((n for n in measure(root, body) if n.tag not in INLINE and id(n) not in known), key=lambda n: (n.total, n.chars), default=None)
+    if at is not None and at.total <= most:
+        at = None
+    held = []
+    while at is not None:
+        if at.named:
+            held.append(at)
+        at = at.parent
+    back = []
+    if not headed and held:
+        inside = [any(n.tag in HEADING for n in in_post_order(x)) for x in held]
+        anywhere = any(n.tag in HEADING for x in named for n in in_post_order(x))
+        # held runs outwards: what encloses an element that comes back must come back, too.
+        if inside[-1] or (not anywhere and all(x.named == "part" for x in held)):
+            back = held
+    for node in named:
+        node.never = all(node is not x for x in back)
+
+
 def content_root(root: Node) -> Node:
+    restore(root)
     nodes = in_post_order(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     nodes = [n for n in measure(root, body)]
     inside = {id(n) for n in in_post_order(body)}
-    best = max((n for n in nodes if id(n) in inside and n.tag not in ("a", "b", "i", "em", "strong", "span", "u", "font", "small")), key=lambda n: (n.total, n.chars), default=body)
+    best = max((n for n in nodes if id(n) in inside and n.tag not in INLINE), key=lambda n: (n.total, n.chars), default=body)
     path, at = [], best
     while at is not None and at is not body:
         path.append(at)
