@@ -408,6 +408,12 @@ def test_names_in_other_attributes_and_around_articles_cut_nothing(start):
     assert "A first paragraph" in found and "A second paragraph" in found and not any(x in found for x in ("Menu", "Buy now", "First!"))
 
 
+def test_link_lists_of_the_article_stay():
+    links = "<ul><li><a href=x>First linked item</a></li><li><a href=y>Second linked item</a></li></ul><table><tr><td><a href=z>Cell</a></td></tr></table><div><a href=w>Linked line.</a></div>"
+    page = PAGE.format(main="<article><h1>Head</h1><p>Text of it, of some length.</p>" + links + "</article>")
+    assert main_text(page) == "Head\nText of it, of some length.\nFirst linked item\nSecond linked item\nCell\nLinked line."
+
+
 def test_hidden_elements_stay_cut():
     assert main_text(PAGE.format(main="<article><p>Text of it.</p><div hidden>x</div><div aria-hidden=true>y</div><p role='alert'>z</p><p class='ad-slot'>q</p></article>")) == "Text of it."
 

@@ -277,7 +277,7 @@ def blocks(root: Node) -> list[str]:
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif not x.never and not (x is not root and x.tag in ("ul", "ol", "div", "section", "dl", "table") and x.link_chars > 0.6 * x.chars):
+        elif not x.never:
             edge = x.tag in BLOCK
             if edge:
                 flush()
