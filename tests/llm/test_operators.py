@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from usagelake.llm.decontaminate import Index, contaminated, decontaminated, parts_of
+from usagelake.llm.decontaminate import Index, aligned, contaminated, decontaminated, parts_of
 from usagelake.llm.graph import connected_components
 from usagelake.llm.html_text import extract_text, main_text
 from usagelake.llm.line_dedup import simhash, without_repeated_lines
@@ -360,6 +360,27 @@ def test_decontamination_finds_items_and_leaves_the_rest(spark):
     assert contaminated(table, bench.limit(0)).count() == 0
 
 
+def test_alignment_equals_edit_distance():
+    rng = random.Random(15)
+    for _ in range(200):
+        part, around = (words(rng, rng.randrange(1, n), 6).encode().split() for n in (70, 40))
+        want = min(word_edits(part, around[i:j]) for i in range(len(around) + 1) for j in range(i, len(around) + 1)) if len(around) < 12 else None
+        assert want is None or aligned(part, around) == 1 - want / len(part)
+
+
+def test_decontamination_finds_edited_and_partial_items(spark):
+    rng = random.Random(16)
+    items = [words(rng, n, 5000) for n in (20, 20, 50)] + [words(rng, 300, 5000), words(rng, 300, 5000), words(rng, 20, 5000) + "? " + words(rng, 8, 5000)]
+    kept = [i.replace("?", "").split() for i in items]
+    kept[0][9] = kept[1][4] = kept[1][14] = "changed"
+    kept[2][10] = kept[2][25] = kept[2][40] = "changed"
+    kept[3], kept[4], kept[5] = kept[3][86:128], kept[4][100:160], kept[5][:20]
+    texts = [f"{words(rng, 200, 5000)} {' '.join(k)} {words(rng, 200, 5000)}" for k in kept] + [words(rng, 400, 5000) + " " + " ".join(items[0].split()[:8])]
+    texts[3] = texts[3].replace(" ".join(kept[3]), " ".join(items[3].split()[80:135]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(docs(spark, texts), bench).collect()) == [(i, i) for i in range(6)]
+
+
 def test_wand_returns_all_at_or_above_the_threshold():
     rng = random.Random(10)
     index = Index.build([parts_of(words(rng, 30, 60)) for _ in range(300)])

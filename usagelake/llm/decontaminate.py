@@ -5,8 +5,9 @@ with BM25 weights, each divided by the segment's score for itself, so that 1 is
 know their greatest weight. Each training text is cut into passages of PASSAGE words, a new one every STEP
 words, over the whole text; a passage is a query of its distinct words. The segments lie in at most BLOCKS ranges
 too; ranges in which the greatest weights of a passage's words don't add up to the threshold are dropped for all
-passages of a text at once. In the others block-max WAND returns every segment at or above the threshold. A hit is verified on the text around the passage: enough of the question's word n-grams, and
-of the answer's, must occur there. An item without columns of its own for them is read so: what follows
+passages of a text at once. In the others block-max WAND returns every segment at or above the threshold. A hit is verified on the text around the passage, which must hold
+one of these: a run of SEGMENT words of the item at the segment (or the whole of a shorter item), or its whole question of at least n words, with word edits for at
+most 1 - overlap of it; or enough of the question's word n-grams and of the answer's. An item without columns of its own for them is read so: what follows
 its last question mark, else nothing, is the answer.
 
 The index travels to the executors; benchmark items are therefore taken in blocks of at most BLOCK_CHARS
@@ -36,6 +37,7 @@ SEGMENT, PASSAGE, STEP = 48, 64, 32
 BLOCK_CHARS = 8_000_000
 POSTINGS = 64  #: of a block
 BLOCKS = 64  #: ranges of segments
+RUN_STEP = 6  #: words between the runs of an item that are tried
 K1, B = 1.2, 0.75
 HITS = "array<struct<item:bigint, score:double, question_overlap:double, answer_overlap:double, first_word:bigint>>"
 SEPARATORS = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
@@ -60,6 +62,7 @@ def parts_of(text: str | None, answer: str | None = None) -> tuple[list[bytes],
 class Index:
     items: list[tuple[list[bytes], list[bytes]]]  #: question and answer words
     of: list[int] = field(default_factory=list)  #: item of each segment
+    spans: list[tuple[int, int]] = field(default_factory=list)  #: first word in its item of each segment, and the end
     lengths: list[int] = field(default_factory=list)  #: words of each item
     terms: dict[bytes, int] = field(default_factory=dict)
     postings: list[list[int]] = field(default_factory=list)  #: segments of each term, rising
@@ -78,7 +81,8 @@ class Index:
             index.lengths.append(len(words))
             count = -(-len(words) // SEGMENT)
             for part in range(count):
-                bags.append(Counter(words[len(words) * part // count : len(words) * (part + 1) // count]))
+                index.spans.append((len(words) * part // count, len(words) * (part + 1) // count))
+                bags.append(Counter(words[slice(*index.spans[-1])]))
                 index.of.append(item)
         df = Counter(w for bag in bags for w in bag)
         average = sum(sum(b.values()) for b in bags) / max(1, len(bags))
@@ -180,10 +184,41 @@ class Index:
         if item in best and score <= best[item][1]:
             return
         around = words[max(0, start - self.lengths[item]) : start + PASSAGE + self.lengths[item]]
-        question, answer = (share(part, around, n) for part in self.items[item])
-        if min(question, answer) >= overlap:
+        question, answer = (max(share(part, around, n), aligned(part, around)) for part in self.items[item])
+        if min(question, answer) >= overlap or (question >= overlap and len(self.items[item][0]) >= n) or self.run_occurs(words, start, segment, overlap):
             best[item] = (item, score, question, answer, start)
 
+    def run_occurs(self, words: list[bytes], start: int, segment: int, overlap: float) -> bool:
+        """Whether a run of SEGMENT words of the item that overlaps the segment is aligned with the words around the passage."""
+        item, (low, high) = self.of[segment], self.spans[segment]
+        own = [w for part in self.items[item] for w in part]
+        around = words[max(0, start - SEGMENT) : start + PASSAGE + SEGMENT]
+        last = max(0, len(own) - SEGMENT)
+        firsts = {min(last, max(0, at)) for at in range(low - SEGMENT // 2, high - SEGMENT // 2 + 1, RUN_STEP)} | {min(last, low)}
+        return any(aligned(own[at : at + SEGMENT], around) >= overlap for at in sorted(firsts))
+
+
+def aligned(part: list[bytes], around: list[bytes]) -> float:
+    """1 - word edits / words of the part, for the run of words in around that needs least edits (bit-parallel); 1 for a part without words."""
+    size = len(part)
+    if not size:
+        return 1.0
+    places: dict[bytes, int] = {}
+    for k, w in enumerate(part):
+        places[w] = places.get(w, 0) | 1 << k
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    plus, minus, edits, least = full, 0, size, size
+    for w in around:
+        equal = places.get(w, 0)
+        vertical = equal | minus
+        across = (((equal & plus) + plus) ^ plus) | equal
+        up, down = (minus | ~(across | plus)) & full, plus & across
+        edits += bool(up & top) - bool(down & top)
+        least = min(least, edits)
+        up, down = up << 1 & full, down << 1 & full
+        plus, minus = (down | ~(vertical | up)) & full, up & vertical
+    return 1 - least / size
+
 
 def share(part: list[bytes], around: list[bytes], n: int) -> float:
     """Share of the part's n-grams that occur around the passage; 1 for a part without words."""
