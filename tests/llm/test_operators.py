@@ -520,6 +520,20 @@ def test_toxicity_holds_out_and_reads_characters(spark):
     assert score_toxicity(odd, fit_toxicity(table, labels.limit(0))).first().score == 0.5
 
 
+def test_toxicity_reads_words_to_their_end():
+    from usagelake.llm.toxicity import words_of
+
+    net = Network([b"a"], seed=1)
+    same = lambda a, b: np.allclose(net.inputs(words_of(a)), net.inputs(words_of(b)))
+    assert same("goodmorningmoron", "GoodMorningMoron") and not same("goodmorningmoron", "goodmorningfolks")
+    for letter in ("a", "\u4e00", "\u0436"):
+        for n in (12, 33, 200):
+            assert not same(letter * n + "x", letter * n + "y")
+    assert len(words_of("ab " + "c" * 100)) == 1 + 6 and max(map(len, words_of("c" * 1001))) == 32
+    with np.errstate(all="raise"):
+        assert net.inputs([b"", b"a", b"ab"]).shape == (3, 48)
+
+
 def test_gradients_agree_with_differences():
     net = Network([b"a", b"b"], seed=3)
     rng = np.random.default_rng(0)

@@ -1,9 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A text is cut into words (ASCII punctuation and white space separate them, letters lower-cased) and those
-into windows of WINDOW words, a new one every STRIDE words, over the whole text. A word enters the network
+A text is cut into words (ASCII punctuation and white space separate them, letters lower-cased; a run of more than LONG
+bytes, as in scripts without spaces, comes as overlapping pieces of LONG bytes) and those into windows of WINDOW words, a new one every STRIDE words, over the whole text. A word enters the network
 by two vectors: one of its own, for words that enough documents of the sample hold (others share one), and
-the mean of those of its hashed character n-grams. A forward and a backward gated recurrent layer run over
+the mean of those of all its hashed character n-grams. A forward and a backward gated recurrent layer run over
 the window, attention pools their states, and a logistic unit scores the pooled state. A document's score
 is that of its highest window, put through a logistic calibration.
 
@@ -32,7 +32,8 @@ from usagelake.llm.labelled import remainder, sampled_ids
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, CHARS, WORDS = 8, 12, 8
-GRAM_BUCKETS, MAX_GRAMS = 8192, 16
+GRAM_BUCKETS = 8192
+LONG = 32  #: bytes of a word, or of a piece of a longer one
 BATCH = 1024  #: windows that run through the network at once
 UPDATES = 60  #: of a training round, at least
 DROP, DECAY = 0.3, 0.0
@@ -42,31 +43,38 @@ SEPARATORS = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").translate(SEPARATORS).split()
+    """The words of a text; one of more than LONG bytes comes as overlapping pieces."""
+    words = (text or "").lower().encode("utf-8", "replace").translate(SEPARATORS).split()
+    if max(map(len, words), default=0) > LONG:
+        return [piece for w in words for piece in ((w,) if len(w) <= LONG else (w[at : at + LONG] for at in range(0, len(w) - LONG // 2, LONG // 2)))]
+    return words
 
 
 def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word's 3- and 5-grams of bytes with edge marks, at most MAX_GRAMS; and how many."""
+    """Buckets of all 3- and 5-grams of bytes with edge marks of all words, one word after the other; and how many each has."""
     if len(words) > 16384:
         parts = [gram_buckets(words[at : at + 16384]) for at in range(0, len(words), 16384)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    grams, counts = np.zeros((len(words), MAX_GRAMS), np.int32), np.zeros(len(words), np.int64)
-    padded = np.zeros((len(words), 18), np.uint64)
+    counts = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    padded = np.zeros((len(words), max(5, int(counts.max(initial=0)))), np.uint64)
     for i, word in enumerate(words):
-        marked = b"\x02" + word[:16] + b"\x03"
-        padded[i, : len(marked)] = np.frombuffer(marked, np.uint8)
-        counts[i] = len(marked)
-    mix = lambda a, salt: (((a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) >> np.uint64(40)).astype(np.int64) % GRAM_BUCKETS
+        padded[i, : len(word) + 2] = np.frombuffer(b"\x02" + word + b"\x03", np.uint8)
+    mix = lambda a, salt: (((a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) >> np.uint64(40)).astype(np.int32) % GRAM_BUCKETS
     three = padded[:, :-2] | padded[:, 1:-1] << np.uint64(8) | padded[:, 2:] << np.uint64(16)
     five = three[:, :-2] | padded[:, 3:-1] << np.uint64(24) | padded[:, 4:] << np.uint64(32)
-    # The first half of the places takes 3-grams from the front, the second 5-grams.
-    half = MAX_GRAMS // 2
-    n3, n5 = np.minimum(np.maximum(counts - 2, 1), half), np.clip(counts - 4, 0, half)
-    grams[:, :half], grams[:, half:] = mix(three[:, :half], 1), mix(five[:, :half], 2)
-    held = np.arange(half)
-    used = np.concatenate([held < n3[:, None], held < n5[:, None]], 1)
-    grams[~used] = GRAM_BUCKETS  # a row of zeros
-    return grams, n3 + n5
+    n3, n5 = np.maximum(counts - 2, 1), np.maximum(counts - 4, 0)
+    used = np.concatenate([np.arange(three.shape[1]) < n3[:, None], np.arange(five.shape[1]) < n5[:, None]], 1)
+    return np.concatenate([mix(three, 1), mix(five, 2)], 1)[used], n3 + n5
+
+
+def starts_of(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
+
+
+def places_of(counts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Where the n-grams of the words which stand, if each word has so many of them."""
+    n = counts[which]
+    return np.repeat(starts_of(counts)[which] - starts_of(n), n) + np.arange(n.sum())
 
 
 def windows(n_words: int) -> np.ndarray:
@@ -98,7 +106,7 @@ class Network:
         """Rows of [products with the forward weights, with the backward weights] of words."""
         grams, n = gram_buckets(words)
         x = np.empty((len(words), CHARS + WORDS), np.float32)
-        x[:, :CHARS] = self.p["gram"][grams].sum(1) / n[:, None]
+        x[:, :CHARS] = np.add.reduceat(self.p["gram"][grams], starts_of(n), 0) / n[:, None] if len(words) else 0
         x[:, CHARS:] = self.p["word"][[self.vocabulary.get(w, 0) for w in words]]
         return np.concatenate([x @ self.p["wf"].T + self.p["cf"], x @ self.p["wb"].T + self.p["cb"]], 1)
 
@@ -308,12 +316,12 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, roun
     grams, n_grams = gram_buckets(every)
     gram_docs = np.zeros((2, GRAM_BUCKETS + 1), np.int64)
     for d, y in zip(docs, labels[: len(texts)], strict=False):
-        gram_docs[int(y), np.unique(grams[np.unique(d)])] += 1
+        gram_docs[int(y), np.unique(grams[places_of(n_grams, np.unique(d))])] += 1
     gram_odds = log_odds(gram_docs, labels[: len(texts)])
     gram_odds[-1] = 0
     net.p["gram"][:, 0] = gram_odds
     net.p["word"][1:, 0] = word_odds[common]
-    prior = np.maximum(word_odds if len(word_odds) else np.zeros(1), gram_odds[grams].max(1))
+    prior = np.maximum(word_odds if len(word_odds) else np.zeros(1), np.maximum.reduceat(gram_odds[grams], starts_of(n_grams)))
     own = np.array([net.vocabulary.get(w, 0) for w in every])
     ids = np.concatenate([d if len(d) else np.zeros(1, np.int32) for d in docs])
     sizes = np.array([len(d) for d in docs])
@@ -340,15 +348,16 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, roun
         w = ids[np.minimum(places, len(ids) - 1)]
         distinct, where = np.unique(w, return_inverse=True)
         where = where.reshape(w.shape)
-        x = np.concatenate([net.p["gram"][grams[distinct]].sum(1) / n_grams[distinct, None], net.p["word"][own[distinct]]], 1)
+        n_own, own_grams = n_grams[distinct], grams[places_of(n_grams, distinct)]
+        x = np.concatenate([np.add.reduceat(net.p["gram"][own_grams], starts_of(n_own), 0) / n_own[:, None], net.p["word"][own[distinct]]], 1)
         # Words drop their own vector now and then, so that their characters must tell as well.
         dropped = rng.random(len(distinct)) < DROP
         x[dropped, CHARS:] = 0
         g, d_x = net.gradients(np.ascontiguousarray(x[where].transpose(1, 2, 0), dtype=np.float32), np.ascontiguousarray(mask.T), labels[doc[chosen]], weight)
         flat = d_x.transpose(2, 0, 1).reshape(-1, CHARS + WORDS)
         by_word = np.stack([np.bincount(where.ravel(), flat[:, k], len(distinct)) for k in range(CHARS + WORDS)], 1)
-        of_gram = np.repeat((by_word[:, :CHARS] / n_grams[distinct, None])[:, None], MAX_GRAMS, 1).reshape(-1, CHARS)
-        g["gram"] = np.stack([np.bincount(grams[distinct].ravel(), of_gram[:, k], GRAM_BUCKETS + 1) for k in range(CHARS)], 1)
+        of_gram = np.repeat(by_word[:, :CHARS] / n_own[:, None], n_own, 0)
+        g["gram"] = np.stack([np.bincount(own_grams, of_gram[:, k], GRAM_BUCKETS + 1) for k in range(CHARS)], 1)
         g["gram"][-1] = 0
         by_word[dropped, CHARS:] = 0
         g["word"] = np.stack([np.bincount(own[distinct], by_word[:, CHARS + k], len(net.p["word"])) for k in range(WORDS)], 1)
