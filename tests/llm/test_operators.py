@@ -321,6 +321,49 @@ def test_line_dedup_links_classes_closed_by_different_pivots(spark, by, monkeypa
     assert [set(g) for g in joined({frozenset((r.a, r.b)) for r in links})] == [{0, 1, 2, 3}]
 
 
+@pytest.mark.parametrize("shared", [1024, 8])
+def test_line_dedup_recall_at_the_threshold(spark, shared, monkeypatch):
+    from usagelake.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SHARED", shared)
+    rng = random.Random(17)
+    # Words as in texts: few frequent ones, many rare ones; each edit puts a new word, and all that are allowed are made.
+    zipf = lambda: f"w{int(2000 ** rng.random())}"
+    lines, length = [], []
+    for n in (4, 5, 10, 20, 40, 80):
+        for _ in range(60):
+            u = [zipf() for _ in range(n)]
+            v = list(u)
+            if n == 4:
+                v.insert(rng.randrange(5), "one more")
+                v = " ".join(v).split()[:5]
+            for at in rng.sample(range(n), n // 5):
+                v[at] = f"edit{rng.randrange(10**6)}"
+            lines += [" ".join(u), " ".join(v)]
+            length += [n, n]
+    rows = {r.doc_id: r.n_removed for r in without_repeated_lines(docs(spark, lines), min_words=1).collect()}
+    pairs = {n: [word_edits(lines[i].split(), lines[i + 1].split()) * 5 <= max(len(lines[i].split()), len(lines[i + 1].split())) for i in range(0, len(lines), 2) if length[i] == n] for n in set(length)}
+    found = {n: [rows[i + 1] == 1 for i in range(0, len(lines), 2) if length[i] == n] for n in pairs}
+    for n, alike in pairs.items():
+        recall = sum(f for f, a in zip(found[n], alike, strict=True) if a) / sum(alike)
+        assert sum(alike) >= 10 and (recall == 1 if n < 20 else recall >= 0.9), (n, recall)
+
+
+def test_line_dedup_of_a_hot_group_keeps_one(spark, monkeypatch):
+    from usagelake.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SHARED", 16)
+    rng = random.Random(18)
+    base = words(rng, 30, 5000).split()
+    lines = [" ".join([*base[:k], f"v{i}", *base[k + 1 :]]) for i in range(150) for k in [rng.randrange(30)]]
+    # Unrelated lines that share frequent pairs of words, two of them alike.
+    other = [f"of the in the on the to the at the {words(rng, 6, 900)}" for _ in range(60)]
+    lines += other + [other[7] + " more"]
+    table = docs(spark, lines + [lines[3]] * 100, ids=[None if i == 200 else i for i in range(len(lines) + 100)])
+    rows = without_repeated_lines(table).collect()
+    assert sum(r.n_removed for r in rows) == 149 + 1 + 100 and next(r for r in rows if r.doc_id == 0).n_removed == 0
+
+
 def test_line_dedup_takes_short_and_unspaced_lines(spark, tmp_path):
     from usagelake.llm.queries import op4_line_dedup
 
