@@ -446,11 +446,11 @@ PAGE = "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script
 @pytest.mark.parametrize(
     ("main", "want"),
     [
-        ("<article><h1>Head</h1><p>One &amp; two<br> three.<p>Next &eacute; <b>bold</b>text.</article>", "Head\nOne & two three.\nNext é boldtext."),
+        ("<article><h1>Head</h1><p>One &amp; two<br> three.<p>Next &eacute; <b>bold</b>text.</article>", "Head\n\nOne & two three.\n\nNext é boldtext."),
         ("<article><p>Only.</p></article>", "Only."),
         ("<div class='content'><h2>A title here</h2><div><p>A first paragraph of some length, with words.</p><p>A second paragraph of some length.</p></div></div>", None),
         ("<main><header><h1>Head</h1></header><p>Text of it.</p><div class=share-buttons><a href=x>Share</a></div></main>", "Text of it."),
-        ("<p>A bare paragraph in the body, of some length.</p><p>Another one here.</p>", "A bare paragraph in the body, of some length.\nAnother one here."),
+        ("<p>A bare paragraph in the body, of some length.</p><p>Another one here.</p>", "A bare paragraph in the body, of some length.\n\nAnother one here."),
     ],
 )
 def test_main_text(main, want):
@@ -475,7 +475,13 @@ def test_names_in_other_attributes_and_around_articles_cut_nothing(start):
 def test_link_lists_of_the_article_stay():
     links = "<ul><li><a href=x>First linked item</a></li><li><a href=y>Second linked item</a></li></ul><table><tr><td><a href=z>Cell</a></td></tr></table><div><a href=w>Linked line.</a></div>"
     page = PAGE.format(main="<article><h1>Head</h1><p>Text of it, of some length.</p>" + links + "</article>")
-    assert main_text(page) == "Head\nText of it, of some length.\nFirst linked item\nSecond linked item\nCell\nLinked line."
+    assert main_text(page) == "Head\n\nText of it, of some length.\n\nFirst linked item\n\nSecond linked item\n\nCell\n\nLinked line."
+
+
+@pytest.mark.parametrize(("name", "cut"), [("related-work", False), ("comment-analysis", False), ("share-price", False), ("related-posts", True), ("ad-slot-3", True), ("top-banner", True), ("share-buttons", True), ("notice", True)])
+def test_names_of_parts_of_the_article(name, cut):
+    page = PAGE.format(main=f"<article><h1>Head</h1><p>Text of it, of some length.</p><section class='{name}'><p>A paragraph in a section.</p></section><p>Last one.</p></article>")
+    assert main_text(page) == "\n\n".join(["Head", "Text of it, of some length.", *["A paragraph in a section."] * (not cut), "Last one."])
 
 
 def test_hidden_elements_stay_cut():

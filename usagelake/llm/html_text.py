@@ -6,7 +6,7 @@ notice or comment list) are cut off first; one cut off by class or id alone come
 part of the page and its heading. Every remaining element gets its composite density: its
 characters per tag, adjusted by how much of both lies in links. The element whose children's densities
 have the greatest sum is the content; the least density on its path from body is the threshold that
-decides which enclosing elements belong to it too. What is left of that element is emitted block by block.
+decides which enclosing elements belong to it too. What is left of that element is emitted block by block, with an empty line between blocks.
 
 Defined cases: null or blank html gives an empty text; broken or unclosed markup is repaired by the usual
 implied end tags; very long pages are read whole in linear time; repeated rows are extracted alike; an
@@ -35,6 +35,7 @@ NEVER_TEXT = frozenset("script style noscript template head title nav footer asi
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NEVER_NAME = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner banners sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay comment comments commentlist disqus respond replies reply share sharing social newsletter subscribe signup login related recommended widget pagination pager toolbar skip hidden".split())
 LAYOUT = frozenset("has no with without".split())
+HOLDER = frozenset("area bar block body bottom box button buttons card cards center col column container content feed form group header heading icon icons inner item items label layer left links list module outer panel post posts right row section slot space stories strip text thread title tools top unit wrap wrapper zone".split())
 NAME_PART = re.compile(r"[A-Za-z0-9]+")
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[A-Za-z/!?])[^<]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -68,7 +69,8 @@ def is_never(tag: str, attributes: str, in_article: bool) -> bool:
 def name_of(tag: str, attributes: str) -> str:
     """Whether class or id holds a name of NEVER_NAME as a "whole" name, as a "part" of one, or not ("").
 
-    A name that says that its element has, or lacks, such a part ("has-sidebar") is none.
+    A name that says that its element has, or lacks, such a part ("has-sidebar") is none; nor is one in which something
+    else than a holder follows ("related-work").
     """
     if not attributes or tag in ("html", "body", "main") or (tag == "article" and "comment" not in attributes.lower()):
         return ""
@@ -78,8 +80,8 @@ def name_of(tag: str, attributes: str) -> str:
             for word in "".join(values).lower().split():
                 if word in NEVER_NAME:
                     return "whole"
-                parts = NAME_PART.findall(word)
-                if any(part in NEVER_NAME and not (k and set(parts[:k]) & LAYOUT) for k, part in enumerate(parts)):
+                parts = [x for x in NAME_PART.findall(word) if not x.isdigit()]
+                if any(part in NEVER_NAME and not (k and set(parts[:k]) & LAYOUT) and HOLDER.union(NEVER_NAME).issuperset(parts[k + 1 :]) for k, part in enumerate(parts)):
                     found = "part"
     return found
 
@@ -288,7 +290,7 @@ def blocks(root: Node) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(blocks(content_root(parse(page)))) if page else ""
+    return "\n\n".join(blocks(content_root(parse(page)))) if page else ""
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
