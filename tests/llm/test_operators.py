@@ -93,22 +93,48 @@ def test_mixing_meets_targets(spark):
         assert 0 <= r.taken <= 2 * r.size
         s = next(x for x in total if total[x] == r.source_size and abs(want[x] - r.target) < 1e-6)
         taken[s] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 1 for s in total)
+    assert all(abs(taken[s] - want[s]) <= 2 * 64 for s in total)  # whole blocks, and points of low discrepancy
     assert sorted(map(str, rows)) == sorted(map(str, mixed_counts(table.repartition(5), block_words=64).collect()))
     assert mixed_counts(docs(spark, [])).count() == 0 and mixed_counts(docs(spark, ["", None])).count() == 2
 
 
-def test_mixing_pieces_cover_blocks_once_and_copies_follow(spark):
+def brute_mix(sources, words_of, block):
+    """Slots of each source by the golden-ratio points, one after the other."""
+    total, cumulative, at = sum(words_of.values()), [], 0.0
+    for s in sources:
+        at += words_of[s]
+        cumulative.append(int(at / total * 2**31))
+    slots = Counter()
+    for n in range(-(-sum(round(w) for w in words_of.values()) // block)):
+        point = (n + 1) * 1327217885 % 2**31
+        slots[next(s for s, upto in zip(sources, cumulative, strict=True) if point < upto)] += 1
+    return slots
+
+
+def test_mixing_takes_what_the_schedule_says(spark, monkeypatch):
+    from usagelake.llm import mixing
+
     rng = random.Random(3)
     table = docs(spark, [words(rng, 30) for _ in range(200)], [rng.choice("aab") for _ in range(200)])
     mix = mixture(table, block_words=100)
-    blocks = mix.pieces.groupBy("source_key", "slot").agg(F.sum("n_words").alias("n")).collect()
-    assert len(blocks) == mix.schedule.count() and all(60 <= b.n <= 140 for b in blocks)
+    size = {s.source_key: s.source_size for s in mix.sources.collect()}
+    target = {s.source_key: s.target for s in mix.sources.collect()}
+    slots = brute_mix(["sa", "sb"], target, 100)
+    assert {s.source_key: s.slots for s in mix.sources.collect()} == slots
+    blocks = {(b.source_key, b.block): b.slot for b in mix.schedule.collect()}
+    assert all([blocks[s, k] for k in range(n)] == sorted(blocks[s, k] for k in range(n)) for s, n in slots.items()) and len(blocks) == sum(slots.values())
+    pieces = mix.pieces.groupBy("source_key", "slot").agg(F.sum("n_words").alias("n")).collect()
+    assert Counter({s: sum(p.n for p in pieces if p.source_key == s) for s in size}) == {s: min(2 * size[s], 100 * slots[s]) for s in size}
+    assert sum(p.n != 100 for p in pieces) <= 2
     copies = mixed_documents(table, block_words=100)
     assert copies.columns == table.columns
     counts = Counter(r.source for r in copies.collect())
-    for s in mix.sources.collect():
-        assert abs(counts[s.source_key[1:]] * 30 - s.target) <= 30
+    assert {s: counts[s[1:]] for s in size} == {s: -(-min(2 * size[s], 100 * slots[s]) // 30) for s in size}
+    # Points that are not spread give another mix.
+    taken = lambda: sorted((r.doc_id, r.taken) for r in mixed_counts(table, block_words=100).collect())
+    as_dealt = taken()
+    monkeypatch.setattr(mixing, "STEP", 1)
+    assert taken() != as_dealt
 
 
 # near duplicates

@@ -2,11 +2,13 @@
 
 1. Sources in code-point order (null last) take the weights in turn; each source's target is its share of
    budget * all words, stopped at max_repeat times its own words, the excess shared again by weight.
-2. Slot n of the schedule maps the golden-ratio point frac((n + 1) * phi), on a grid of 2**31, through the
-   cumulative targets to a source; the slots of a source are ranked in the order of n.
-3. A source's documents are shuffled by a digest and laid end to end, max_repeat times over; the first
-   `target` words of that run are cut into as many blocks as the source has slots, equal to within a word.
-   Slot k of a source takes its block k, so the blocks of a source add up to its target exactly.
+2. Slot n of the schedule, of as many as blocks of block_words words make up all targets, maps the golden-ratio point
+   frac((n + 1) * phi), on a grid of 2**31, through the cumulative targets to a source; the slots of a source are ranked
+   in the order of n.
+3. A source's documents are shuffled by a digest and laid end to end, max_repeat times over; that run is cut into blocks
+   of block_words words. The slot of rank k of a source takes its block k (what there is of it, where the run ends),
+   so the schedule decides what is taken: a source's words miss its target by as many blocks as its slots
+   miss their share, which is a few for points of low discrepancy, however many slots there are.
 
 Sums and ranks inside a source are made in cells (see common.before); no task holds a whole source.
 
@@ -37,7 +39,7 @@ class Mixture:
     sources: DataFrame  #: source_key, source_size, weight, target, words (target in whole words), slots
     schedule: DataFrame  #: slot, source_key, block
     placed: DataFrame  #: documents with source_key, size, at (words of the source before it), source_size, target, words, slots
-    pieces: DataFrame  #: the schedule joined with the documents: slot, source_key, at, doc_id, size, first_word, n_words
+    pieces: DataFrame  #: the schedule joined with the documents: slot, source_key, at, doc_id, size, turn, first_word, n_words
 
 
 def word_count(text: Column) -> Column:
@@ -78,18 +80,7 @@ def slot_sources(sources: DataFrame, n_slots: int) -> DataFrame:
     return before(drawn, ["source_key"], "chunk", ["slot"], F.lit(1).cast("long"), "block").select("slot", "source_key", "block")
 
 
-def block_of(at: Column) -> Column:
-    """Number of the block that holds word `at` of a run of `words` words in `slots` blocks."""
-    base, rest = F.floor(F.col("words") / F.col("slots")), F.col("words") % F.col("slots")
-    return F.when(at < rest * (base + 1), F.floor(at / (base + 1))).otherwise(rest + F.floor((at - rest * (base + 1)) / F.greatest(base, F.lit(1))))
-
-
-def block_start(block: Column) -> Column:
-    base, rest = F.floor(F.col("words") / F.col("slots")), F.col("words") % F.col("slots")
-    return block * base + F.least(block, rest)
-
-
-def mixture(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5, max_repeat: int = 2, block_words: int = 4096, seed: str = "mix", carry: Sequence[str] = ()) -> Mixture:
+def mixture(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5, max_repeat: int = 2, block_words: int = 64, seed: str = "mix", carry: Sequence[str] = ()) -> Mixture:
     rows = docs.select(
         F.col("doc_id"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~null")).alias("source_key"),
@@ -100,17 +91,15 @@ def mixture(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float =
     rows = rows if carry else written(rows, "mix-sizes")
     sources = written(source_targets(rows, weights, budget, max_repeat), "mix-sources")
     words = sources.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    drawn = slot_sources(sources, -(-words // block_words))
-    schedule = written(drawn.unionByName(
-        sources.join(drawn.select("source_key").distinct(), "source_key", "left_anti").where("words > 0").select((F.lit(-(-words // block_words)) + F.col("turn")).cast("long").alias("slot"), "source_key", F.lit(0).cast("long").alias("block"))
-    ), "mix-schedule")
-    sources = sources.join(schedule.groupBy("source_key").agg(F.count("*").alias("slots")), "source_key", "left").select("source_key", "source_size", "weight", "target", "words", F.coalesce("slots", F.lit(1)).alias("slots"))
+    schedule = written(slot_sources(sources, -(-words // block_words)), "mix-schedule")
+    slots = schedule.groupBy("source_key").agg(F.count("*").alias("slots"))
+    sources = sources.join(slots, "source_key", "left").select("source_key", "source_size", "weight", "target", "words", F.coalesce("slots", F.lit(0)).alias("slots"))
     placed = before(rows, ["source_key"], "_cell", ["_place"], F.col("size"), "at").join(sources, "source_key")
-    run = placed.where("size > 0").select("source_key", "doc_id", "size", "at", "source_size", "words", "slots", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))).alias("turn"))
-    run = run.withColumn("start", F.col("at") + F.col("turn") * F.col("source_size")).withColumn("stop", F.least(F.col("start") + F.col("size"), F.col("words"))).where("start < stop")
-    run = run.withColumn("block", F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("stop") - 1))))
-    run = run.withColumn("cut", F.greatest(F.col("start"), block_start(F.col("block")))).withColumn("n_words", F.least(F.col("stop"), block_start(F.col("block") + 1)) - F.col("cut"))
-    pieces = run.join(schedule, ["source_key", "block"]).select("slot", "source_key", "at", "doc_id", "size", (F.col("cut") - F.col("start")).alias("first_word"), "n_words")
+    run = placed.where("size > 0").select("source_key", "doc_id", "size", "at", "source_size", "slots", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))).alias("turn"))
+    run = run.withColumn("start", F.col("at") + F.col("turn") * F.col("source_size")).withColumn("stop", F.least(F.col("start") + F.col("size"), F.col("slots") * block_words)).where("start < stop")
+    run = run.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("stop") - 1) / block_words))))
+    run = run.withColumn("cut", F.greatest(F.col("start"), F.col("block") * block_words)).withColumn("n_words", F.least(F.col("stop"), (F.col("block") + 1) * block_words) - F.col("cut"))
+    pieces = run.join(schedule, ["source_key", "block"]).select("slot", "source_key", "at", "doc_id", "size", "turn", (F.col("cut") - F.col("start")).alias("first_word"), "n_words")
     return Mixture(sources, schedule, placed, pieces)
 
 
@@ -125,10 +114,13 @@ def mixed_counts(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns: one copy for each of a document's turns that starts
-    before its source's target is reached. Texts stay whole, so a source may pass its target by less than
-    one document. A document without words is kept once, since it changes no source's share."""
+    """The documents of the mix with all their columns: one copy for each of a document's turns of which a slot takes
+    a piece. Texts stay whole, so a source may pass its slots' words by less than one document. A document
+    without words is kept once, since it changes no source's share."""
     mix = mixture(docs, carry=docs.columns, **options)
-    turns = F.when(F.col("size") == 0, 1).otherwise((F.col("at") < F.col("words")).cast("int") + (F.col("at") + F.col("source_size") < F.col("words")).cast("int"))
-    copies = mix.placed.withColumn("_turns", turns).where("_turns > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns"))))
+    # A source's slots take its run from the start, so a document that is in turn t is in all turns before.
+    turns = mix.pieces.groupBy("source_key", "at").agg((F.max("turn") + 1).alias("_turns"))
+    carried = [F.col(f"_carry_{i}") for i in range(len(docs.columns))]
+    copies = mix.placed.where("size > 0").join(turns, ["source_key", "at"]).select(*carried, F.explode(F.sequence(F.lit(1), F.col("_turns"))).alias("_turn")).drop("_turn")
+    copies = copies.unionByName(mix.placed.where("size = 0").select(*carried))
     return copies.select(*[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(docs.columns)])

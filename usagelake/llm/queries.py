@@ -110,7 +110,7 @@ walk as (select id node, id reach from c union select node, b from walk join bot
 comp as (select node, min(reach) component_id from walk group by node)
 select doc_id, len(s.g)::bigint n_shingles, coalesce(component_id, doc_id) component_id, doc_id = coalesce(component_id, doc_id) kept from s left join c on list_sort(s.g) = c.g left join comp on comp.node = c.id"""
 
-#: The same water level, schedule and blocks as llm.mixing makes, over whole sources at once.
+#: The same water level, points, ranks and blocks as llm.mixing makes, over whole sources at once.
 MIXING = """with d as (select row_number() over () rid, doc_id, coalesce('s' || source, '~null') sk, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
   md5('mix:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))) place from documents),
 t0 as (select sk, sum(size)::bigint ss from d group by sk),
@@ -119,7 +119,13 @@ t2 as (select *, coalesce(sum(cap) over (order by cap::double / w, sk rows betwe
 t3 as (select *, cap * onward <= w * (wanted - below) is_full from t2),
 t4 as (select *, coalesce(sum(case when is_full then cap end) over (), 0)::bigint caps, (sum(case when not is_full then w end) over ())::bigint open_w from t3),
 t5 as (select *, case when is_full then cap::double else w * (wanted - caps) / open_w end target from t4),
-p as (select d.*, t5.ss, t5.target, round(t5.target)::bigint words, coalesce(sum(size) over (partition by d.sk order by place rows between unbounded preceding and 1 preceding), 0)::bigint at_ from d join t5 using (sk))
-select doc_id, size, ss source_size, target, greatest(0, least(size, words - at_)) + greatest(0, least(size, words - at_ - ss)) taken from p"""
+t6 as (select *, floor(sum(target) over (order by sk) / sum(target) over () * 2147483648)::bigint upto from t5),
+t7 as (select *, coalesce(lag(upto) over (order by sk), 0) begins from t6),
+points as (select n slot, ((n + 1) % 2147483648 * 1327217885) % 2147483648 p from range((select ((sum(round(target)::bigint) + 63) // 64)::bigint from t5)) r(n)),
+slots as (select slot, sk, row_number() over (partition by sk order by slot) - 1 block from points join t7 on p >= begins and p < upto),
+p as (select d.*, t5.ss, t5.target, coalesce(sum(size) over (partition by d.sk order by place rows between unbounded preceding and 1 preceding), 0)::bigint at_ from d join t5 using (sk)),
+runs as (select rid, sk, at_ + turn * ss begins, at_ + turn * ss + size ends from p, range(2) t(turn) where size > 0),
+pieces as (select rid, sum(least(ends, block * 64 + 64) - greatest(begins, block * 64))::bigint n from runs join slots using (sk) where block * 64 < ends and block * 64 + 64 > begins group by rid)
+select doc_id, size, ss source_size, target, coalesce(n, 0) taken from p left join pieces using (rid)"""
 
 ORACLES: dict[str, str] = {"op10_vector_topk": TOP_K, "op7_mixing": MIXING, "op5_near_dedup": NEAR}
