@@ -1,5 +1,9 @@
-"""Languages from paths anywhere in nested JSON. Nesting has no bound, which column expressions can't follow,
-so this is a pandas UDF over the JSON text; everything around it stays in Spark."""
+"""Languages from paths that records tell of.
+
+Paths anywhere in nested JSON (Claude, Codex): nesting has no bound, which column expressions can't follow, so those are
+found by a pandas UDF over the JSON text. Paths at known places (all others) are column expressions: arrays of path and weight,
+of which operators.files.dominant_language picks the language.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +15,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from usagelake.functions.language import EXTENSIONS, FILE_NAMES, HEADER_LANGUAGES, PATH_IN_TEXT, UNKNOWN
+from usagelake.functions import variants as v
+from usagelake.functions.language import EXTENSIONS, FILE_NAMES, HEADER_LANGUAGES, PATH_IN_TEXT, UNKNOWN, language_of, paths_from_text
 
 FIND = re.compile(PATH_IN_TEXT)
 
@@ -127,3 +133,31 @@ def language_udf(candidates: Callable[[object], list[tuple[str, int]]]):
             yield pd.Series(out, index=part.index, dtype=object)
 
     return languages
+
+
+WEIGHED = "array<struct<path:string,weight:int>>"
+# Weights of a changed file, of one that was read, and of one that a text names.
+CHANGED, READ, TOLD = 4, 2, 1
+
+
+def weighed(paths: Column, weight: int) -> Column:
+    return F.transform(paths, lambda p: F.struct(p.alias("path"), F.lit(weight).alias("weight")))
+
+
+def told(text: Column) -> Column:
+    return weighed(paths_from_text(text), TOLD)
+
+
+def of_arguments(arguments: Column, either: bool) -> Column:
+    """Paths of a tool's arguments (a variant): a path under a key that names files weighs 3, those in a text under a key that names
+    text 1. either: a key that names files but holds no known path may be one that names text."""
+
+    def one(entry: Column) -> Column:
+        key, said = F.lower(entry["key"]), v.text(entry["value"], "$")
+        names = key.contains("path") | key.contains("file")
+        speaks = key.contains("command") | key.contains("content") | key.contains("query")
+        known = language_of(said) != UNKNOWN
+        return F.when(names & known, weighed(F.array(said), 3)).when(speaks & (F.lit(True) if either else ~names), told(said)).otherwise(F.array().cast(WEIGHED))
+
+    entries = F.map_entries(F.coalesce(F.try_variant_get(arguments, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    return F.flatten(F.transform(entries, one))

@@ -44,3 +44,9 @@ def dominant_language(candidates: DataFrame, keys: list[str], path: str = "path"
     named = sums.join(family, keys, "left").withColumn("language", F.when(F.col("language") == ".h", F.coalesce("_family", F.lit("C"))).otherwise(F.col("language")))
     named = named.groupBy(*keys, "language").agg(F.sum("weight").cast("long").alias("weight"))
     return survivor(named, keys, [(F.col("language") == UNKNOWN).asc(), F.col("weight").desc(), F.col("language").asc()]).select(*keys, "language")
+
+
+def with_language(rows: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the dominant language of their candidates (keys, path, weight); Unknown without any."""
+    found = dominant_language(candidates, keys)
+    return rows.drop("language").join(found, keys, "left").withColumn("language", F.coalesce("language", F.lit(UNKNOWN)))

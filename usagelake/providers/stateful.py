@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelake.functions import variants as v
 from usagelake.functions.binding import let
-from usagelake.functions.evidence import language_udf, of_claude, of_payload
+from usagelake.functions.evidence import CHANGED, READ, WEIGHED, language_udf, of_arguments, of_claude, of_payload, told, weighed
 from usagelake.functions.ids import COUNTERS, stable_id
 from usagelake.functions.language import language_of
 from usagelake.functions.patches import diff_counts, envelope_changes, hunk_counts
@@ -19,7 +20,7 @@ from usagelake.functions.text import count_lines, first_non_empty, is_semver_pre
 from usagelake.functions.times import rfc3339_nano
 from usagelake.functions.tokens import apply_total, bucket_sum, non_zero, usage
 from usagelake.operators.dedupe import first_wins, keep_best, last_wins
-from usagelake.operators.files import file_rollup
+from usagelake.operators.files import file_rollup, with_language
 from usagelake.operators.precedence import preferred_union
 from usagelake.operators.sequence import attributed_to, carried, counter_deltas, final_value, growth, up_to_here
 from usagelake.providers.base import Provider, existing, finished, line_source, register_provider
@@ -149,16 +150,10 @@ register_provider(Provider("codex", load_codex))
 
 
 # opencode and kilo
-def session_rows(spark: SparkSession, dbs: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Messages of databases with their session, and file changes of the messages' parts."""
-    sessions = read_table(spark, dbs, "session", ["id", "directory", "version", "model"])
-    m = F.try_parse_json("model")
-    sessions = sessions.select("path", F.col("id").alias("session_id"), F.coalesce("directory", F.lit("")).alias("directory"), first_non_empty(v.text(m, "$.id", "$.modelID")).alias("session_model"))
+def tool_parts(parts: DataFrame, writers: tuple[str, ...], patchers: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """File changes, and paths as evidence of a language, of the completed tool calls among parts (source_file, message, t, id, v)."""
     j = F.col("v")
-    messages = read_table(spark, dbs, "message", ["id", "session_id", "time_created", "data"]).withColumn("v", v.parsed(F.col("data"))).where("v is not null")
-    messages = messages.select("path", "row", first_non_empty(v.text(j, "$.id"), F.col("id")).alias("message"), first_non_empty(v.text(j, "$.sessionID"), F.col("session_id")).alias("session_id"), F.col("time_created").try_cast("long").alias("created"), "v")
-    messages = messages.join(sessions, ["path", "session_id"], "left")
-    parts = read_table(spark, dbs, "part", ["id", "message_id", "time_created", "data"]).withColumn("v", v.parsed(F.col("data"))).where((v.text(j, "$.type") == "tool") & (v.text(j, "$.state.status") == "completed"))
+    parts = parts.where((v.text(j, "$.type") == "tool") & (v.text(j, "$.state.status") == "completed"))
     tool, at = v.text(j, "$.tool"), "$.state.input."
     file = v.text(j, at + "filePath", at + "path")
     diff = F.coalesce(F.try_variant_get(j, "$.state.metadata.diff", "string"), F.lit(""))
@@ -166,12 +161,34 @@ def session_rows(spark: SparkSession, dbs: list[str]) -> tuple[DataFrame, DataFr
     write = F.coalesce(F.try_variant_get(j, at + "content", "string"), F.lit(""))
     one = F.struct(file.alias("path"), F.coalesce(stat("additions"), F.when(diff != "", diff_counts(diff)["lines_added"]), F.when(tool == "write", count_lines(write)), F.lit(0)).cast("long").alias("lines_added"), F.coalesce(stat("deletions"), F.when(diff != "", diff_counts(diff)["lines_removed"]), F.lit(0)).cast("long").alias("lines_removed"))
     patched = envelope_changes(F.coalesce(F.try_variant_get(j, at + "patchText", "string"), F.lit("")), needs_begin=False)
-    changed = F.when(tool.isin("patch", "apply_patch"), patched).when(tool.isin("edit", "write", "multiedit") & (file != ""), F.array(one)).otherwise(F.array().cast(CHANGE))
-    changes = parts.select("path", F.col("message_id").alias("message"), F.col("time_created").try_cast("long").alias("t"), "id", F.posexplode(changed).alias("n", "c")).select(F.col("path").alias("source_file"), "message", "t", "id", "n", "c.*")
-    return messages, changes
+    changed = F.when(tool.isin(*patchers), patched).when(tool.isin(*writers) & (file != ""), F.array(one)).otherwise(F.array().cast(CHANGE))
+    parts = parts.withColumn("changed", changed)
+    changes = parts.select("source_file", "message", "t", "id", F.posexplode("changed").alias("n", "c")).select("source_file", "message", "t", "id", "n", "c.*")
+    read = v.text(j, at + "filePath")
+    seen = F.when(F.size("changed") > 0, weighed(F.transform("changed", lambda c: c["path"]), CHANGED)).when((tool == "read") & (read != ""), weighed(F.array(read), READ)).when(tool == "bash", told(v.text(j, at + "command"))).when(tool.isin("glob", "grep"), told(v.text(j, at + "pattern"))).otherwise(F.array().cast(WEIGHED))
+    return changes, parts.select("source_file", "message", F.explode(seen).alias("e")).select("source_file", "message", "e.*")
+
+
+#: Tools that change files, and tools that take patches, of the two programs.
+OPENCODE_TOOLS = (("edit", "write", "multiedit"), ("patch", "apply_patch"))
+KILO_TOOLS = (("edit", "write"), ())
 
 
-def message_events(messages: DataFrame, changes: DataFrame, name: str, title: str, running: bool) -> DataFrame:
+def session_rows(spark: SparkSession, dbs: list[str], tools: tuple[tuple[str, ...], tuple[str, ...]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages of databases with their session, and file changes and language evidence of the messages' parts."""
+    sessions = read_table(spark, dbs, "session", ["id", "directory", "version", "model"])
+    m = F.try_parse_json("model")
+    sessions = sessions.select("path", F.col("id").alias("session_id"), F.coalesce("directory", F.lit("")).alias("directory"), first_non_empty(v.text(m, "$.id", "$.modelID")).alias("session_model"))
+    j = F.col("v")
+    messages = read_table(spark, dbs, "message", ["id", "session_id", "time_created", "data"]).withColumn("v", v.parsed(F.col("data"))).where("v is not null")
+    messages = messages.select("path", "row", first_non_empty(v.text(j, "$.id"), F.col("id")).alias("message"), first_non_empty(v.text(j, "$.sessionID"), F.col("session_id")).alias("session_id"), F.col("time_created").try_cast("long").alias("created"), "v")
+    messages = messages.join(sessions, ["path", "session_id"], "left")
+    parts = read_table(spark, dbs, "part", ["id", "message_id", "time_created", "data"]).withColumn("v", v.parsed(F.col("data")))
+    parts = parts.select(F.col("path").alias("source_file"), F.col("message_id").alias("message"), F.col("time_created").try_cast("long").alias("t"), "id", "v")
+    return messages, *tool_parts(parts, *tools)
+
+
+def message_events(messages: DataFrame, changes: DataFrame, evidence: DataFrame, name: str, title: str, running: bool) -> DataFrame:
     j = F.col("v")
     reported = usage(v.count(j, "$.tokens.input"), v.count(j, "$.tokens.output"), v.count(j, "$.tokens.cache.write"), v.count(j, "$.tokens.cache.read"), 0, v.count(j, "$.tokens.reasoning"))
     rows = messages.withColumn("reported", reported).where(non_zero(F.col("reported")))
@@ -188,23 +205,27 @@ def message_events(messages: DataFrame, changes: DataFrame, name: str, title: st
     keyed = changes.join(rows.select("source_file", "message", "project_path"), ["source_file", "message"])
     keyed = keyed.withColumn("path", resolve_path(F.col("project_path"), F.col("path")))
     rows = with_changes(rows.drop("path"), keyed, ["source_file", "message"], ["t", "id", "n"], "last")
-    rows = rows.withColumn("language", F.when(F.coalesce("entity", F.lit("")) != "", language_of(F.col("entity"))).otherwise("Unknown"))
+    rows = with_language(rows, evidence, ["source_file", "message"])
     return finished(rows, id_column=stable_id(F.lit(name), F.col("message")))
 
 
 def load_opencode(spark: SparkSession, paths: list[str]) -> DataFrame:
     dbs = sorted({p for root in paths for p in ([root] if os.path.isfile(root) else glob.glob(os.path.join(root, "opencode*.db"))) if os.path.isfile(p)})
-    stored = message_events(*session_rows(spark, dbs), "opencode", "OpenCode", running=True)
+    stored = message_events(*session_rows(spark, dbs, OPENCODE_TOOLS), "opencode", "OpenCode", running=True)
     j = F.col("v")
     legacy = read_documents(spark, paths, r"/storage/message/.*\.json$").withColumn("v", v.parsed(F.col("value"))).where("v is not null")
     legacy = legacy.select("path", F.lit(0).cast("long").alias("row"), first_non_empty(v.text(j, "$.id"), stem(F.col("path"))).alias("message"), first_non_empty(v.text(j, "$.sessionID"), F.lit("unknown")).alias("session_id"), F.unix_millis("mtime").alias("created"), "v", F.lit("").alias("directory"), F.lit("").alias("session_model"))
-    none = spark.createDataFrame([], "source_file string, message string, t bigint, id string, n int, path string, lines_added bigint, lines_removed bigint")
-    old = message_events(legacy, none, "opencode", "OpenCode", running=False)
+    # Parts of a message lie beside it, a file each: storage/part/<message>/<part>.json.
+    parts = read_documents(spark, paths, r"/storage/part/.*\.json$").withColumn("v", v.parsed(F.col("value"))).where("v is not null")
+    owner = first_non_empty(v.text(j, "$.messageID"), F.regexp_extract("path", r"/storage/part/([^/]+)/[^/]+$", 1))
+    parts = parts.select(F.regexp_extract("path", "^(.*)/storage/part/", 1).alias("root"), owner.alias("message"), F.unix_millis("mtime").alias("t"), first_non_empty(v.text(j, "$.id"), stem(F.col("path"))).alias("id"), "v")
+    homes = legacy.select(F.regexp_extract("path", "^(.*)/storage/message/", 1).alias("root"), F.col("path").alias("source_file"), "message")
+    old = message_events(legacy, *tool_parts(parts.join(homes, ["root", "message"]), *OPENCODE_TOOLS), "opencode", "OpenCode", running=False)
     return preferred_union(stored, old, ["id"], ["source_file"])
 
 
 def load_kilo(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return first_wins(message_events(*session_rows(spark, existing(paths, "kilo.db")), "kilo", "Kilo Code", running=False), ["id"], ["source_file", "timestamp"])
+    return first_wins(message_events(*session_rows(spark, existing(paths, "kilo.db"), KILO_TOOLS), "kilo", "Kilo Code", running=False), ["id"], ["source_file", "timestamp"])
 
 
 register_provider(Provider("opencode", load_opencode))
@@ -226,6 +247,21 @@ def _gemini_buckets(raw: Column, cached: Column, out: Column, thought: Column, t
     return apply_total(usage(input_ + tool, out, 0, cached, 0, thought), total)
 
 
+def project_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """folder, root: what the .project_root files in the folders of tmp say. Spark's readers pass over names that begin with a
+    dot, so these files of one line each are opened here."""
+    Path, rows = spark._jvm.org.apache.hadoop.fs.Path, {}
+    for path in sorted(set(filter(None, paths))):
+        fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for pattern in ("*/.project_root", "tmp/*/.project_root"):
+            for found in fs.globStatus(Path(path.rstrip("/") + "/" + pattern)) or []:
+                stream = fs.open(found.getPath())
+                said = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+                stream.close()
+                rows[re.sub("^[a-z]*:/+", "/", found.getPath().getParent().toString())] = said
+    return spark.createDataFrame(sorted(rows.items()), "folder string, root string")
+
+
 def load_gemini(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Message logs: checkpoints repeat messages by id, of which the last content counts at the first place."""
     j, keys = F.col("v"), ["source_file"]
@@ -243,22 +279,30 @@ def load_gemini(spark: SparkSession, paths: list[str]) -> DataFrame:
     models = rows.select(*[c for c in rows.columns if c != "v"], F.explode(F.coalesce(F.try_variant_get(j, "$.stats.models", "map<string,variant>"), F.create_map().cast("map<string,variant>"))).alias("m", "v"))
     models = models.withColumns({"timestamp": F.col("mtime"), "usage": gemini_usage(j, "$.tokens"), "key": F.col("m"), "own_id": F.col("m"), "n": F.lit(0)})
     both = messages.unionByName(models, allowMissingColumns=True)
-    slug = first_non_empty(F.regexp_extract("source_file", r"/([^/]+)/chats/", 1), F.regexp_extract("source_file", r".*/tmp/([^/]+)/", 1))
-    roots = read_documents(spark, paths, r"/\.project_root$").select(F.regexp_extract("path", r"/([^/]+)/\.project_root$", 1).alias("slug"), F.trim("value").alias("root")).groupBy("slug").agg(F.min("root").alias("root"))
-    both = both.withColumn("slug", slug).join(roots, "slug", "left")
+    folder = first_non_empty(F.regexp_extract("source_file", r"^(.*/[^/]+)/chats/", 1), F.regexp_extract("source_file", r"^(.*/tmp/[^/]+)/", 1))
+    both = both.withColumn("folder", folder).withColumns({"slug": F.regexp_extract("folder", "([^/]*)$", 1), "home": F.regexp_replace("folder", "/[^/]+/[^/]+$", "")})
+    # A folder names its project in a file of its own, else the registry beside the folders does: project path to slug, or to the path's hash.
+    roots = project_files(spark, paths)
+    listed = read_documents(spark, paths, r"/projects\.json$").select(F.regexp_replace("path", "/projects\\.json$", "").alias("home"), F.explode(F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$.projects", "map<string,string>"), F.create_map().cast("map<string,string>"))).alias("cwd", "name")).where("cwd <> '' and trim(name) <> ''")
+    registry = listed.select("home", "cwd", F.explode(F.array(F.trim("name"), F.sha2("cwd", 256))).alias("slug")).groupBy("home", "slug").agg(F.min("cwd").alias("registered"))
+    both = both.join(roots, "folder", "left").join(registry, ["home", "slug"], "left").withColumn("root", first_non_empty(F.col("root"), F.col("registered")))
     project = project_from_cwd(F.coalesce("root", F.lit("")))
     hashed = F.col("slug").rlike("^[0-9a-f]{32,}$")
     both = both.withColumns(identity("gemini", first_non_empty(project["project"], F.when(hashed | (F.col("slug") == ""), "Unknown").otherwise(F.col("slug"))), project["project_path"], F.col("session"), F.col("m"), "Gemini CLI"))
-    both = both.withColumn("language", F.lit("Unknown"))
     calls = messages.select("source_file", "key", F.posexplode(v.array(j, "$.toolCalls")).alias("at", "v")).where(v.text(j, "$.status").isin("", "success"))
-    stat = lambda c: F.try_variant_get(j, f"$.resultDisplay.diffStat.{c}", "long")
-    text = F.coalesce(F.try_variant_get(j, "$.args.content", "string"), F.lit(""))
-    file = v.text(j, "$.args.file_path", "$.args.absolute_path", "$.args.path")
-    written = v.text(j, "$.name") == "write_file"
-    changes = calls.where((file != "") & (stat("model_added_lines").isNotNull() | stat("ai_added_lines").isNotNull() | written | (v.text(j, "$.name") == "replace")))
-    changes = changes.select("source_file", "key", "at", file.alias("path"), F.coalesce(stat("model_added_lines"), stat("ai_added_lines"), F.when(written, count_lines(text)), F.lit(0)).cast("long").alias("lines_added"), F.coalesce(stat("model_removed_lines"), stat("ai_removed_lines"), F.lit(0)).cast("long").alias("lines_removed"))
+    stat = lambda c: v.count(j, f"$.resultDisplay.diffStat.{c}")
+    lines = lambda c: count_lines(F.coalesce(F.try_variant_get(j, f"$.args.{c}", "string"), F.lit("")))
+    file = v.text(j, "$.resultDisplay.filePath", "$.resultDisplay.fileName", "$.args.file_path", "$.args.filePath", "$.args.absolute_path")
+    name = F.lower(v.text(j, "$.name"))
+    written, edited = name.isin("write_file", "writefile"), name.isin("replace", "edit")
+    changed = lambda c, text: F.when(has("$.resultDisplay.diffStat"), stat(c)).otherwise(lines(text))
+    changes = calls.where((file != "") & (written | edited))
+    changes = changes.select("source_file", "key", "at", file.alias("path"), F.when(written, lines("content")).otherwise(changed("model_added_lines", "new_string")).alias("lines_added"), F.when(written, 0).otherwise(changed("model_removed_lines", "old_string")).cast("long").alias("lines_removed"))
+    paths_of = both.select("source_file", "key", "project_path").distinct()
+    changes = changes.join(paths_of, ["source_file", "key"]).withColumn("path", resolve_path(F.col("project_path"), F.col("path")))
     both = with_changes(both, changes, ["source_file", "key"], ["at"], "last")
-    both = both.withColumn("language", F.when(F.coalesce("entity", F.lit("")) != "", language_of(F.col("entity"))).otherwise("Unknown"))
+    told_of = calls.select("source_file", "key", F.explode(of_arguments(F.try_variant_get(j, "$.args", "variant"), either=False)).alias("e")).select("source_file", "key", "e.*")
+    both = with_language(both, told_of, ["source_file", "key"])
     return first_wins(finished(both, F.col("own_id")), ["id"], ["source_file", "source_start"])
 
 
@@ -286,15 +330,18 @@ def load_workbuddy(spark: SparkSession, paths: list[str]) -> DataFrame:
     # Records of tool calls belong to the first entry of their message, else to the nearest entry before them.
     firsts = found.groupBy("source_file", "message").agg(F.min("source_start").alias("own")).where("message <> ''")
     nearest = attributed_to(F.col("entry"), F.col("source_start"), keys, order)
-    arguments = F.coalesce(F.try_variant_get(j, "$.arguments", "string"), F.to_json(F.try_variant_get(j, "$.arguments", "variant")))
-    args = F.try_parse_json(arguments)
-    tools = rows.withColumn("nearest", nearest).where(v.text(j, "$.name") != "").join(firsts, ["source_file", "message"], "left").withColumn("target", F.coalesce("own", "nearest"))
-    body = F.coalesce(F.try_variant_get(args, "$.content", "string"), F.lit(""))
-    old, new = (F.coalesce(F.try_variant_get(args, p, "string"), F.lit("")) for p in ("$.old_string", "$.new_string"))
-    changes = tools.where((v.text(args, "$.file_path", "$.filePath", "$.path") != "") & ((body != "") | (new != "") | (old != "")) & F.col("target").isNotNull())
-    changes = changes.select("source_file", F.col("target").alias("source_start"), F.col("source_line").alias("at"), v.text(args, "$.file_path", "$.filePath", "$.path").alias("path"), F.when(body != "", count_lines(body)).otherwise(count_lines(new)).alias("lines_added"), count_lines(old).alias("lines_removed"))
+    routed = rows.withColumn("nearest", nearest).join(firsts, ["source_file", "message"], "left").withColumn("target", F.coalesce("own", "nearest")).where("target is not null").withColumns({"kind": v.text(j, "$.type"), "name": v.text(j, "$.name"), "args": F.try_parse_json(F.try_variant_get(j, "$.arguments", "string"))})
+    arg = F.col("args")
+    lines = lambda c: count_lines(F.coalesce(F.try_variant_get(arg, f"$.{c}", "string"), F.lit("")))
+    calls = routed.where("kind = 'function_call' and args is not null")
+    changes = calls.where(F.col("name").isin("Write", "Edit") & (v.text(arg, "$.file_path") != ""))
+    wrote = F.col("name") == "Write"
+    changes = changes.select("source_file", F.col("target").alias("source_start"), F.col("source_line").alias("at"), resolve_path(F.col("said"), v.text(arg, "$.file_path")).alias("path"), F.when(wrote, lines("content")).otherwise(lines("new_string")).alias("lines_added"), F.when(wrote, 0).otherwise(lines("old_string")).cast("long").alias("lines_removed"))
     found = with_changes(found, changes, ["source_file", "source_start"], ["at"], "last")
-    found = found.withColumn("language", F.when(F.coalesce("entity", F.lit("")) != "", language_of(F.col("entity"))).otherwise("Unknown"))
+    spoken = F.concat(F.transform(v.array(j, "$.content"), lambda b: v.text(b, "$.text")), F.array(v.text(j, "$.content")))
+    seen = F.when(F.col("kind") == "function_call", of_arguments(arg, either=True)).when(F.col("kind") == "message", F.flatten(F.transform(spoken, told))).otherwise(F.array().cast(WEIGHED))
+    told_of = routed.select("source_file", F.col("target").alias("source_start"), F.explode(seen).alias("e")).select("source_file", "source_start", "e.*")
+    found = with_language(found, told_of, ["source_file", "source_start"])
     key = [F.col("message"), *[F.col(f"usage.{c}") for c in COUNTERS]]
     return first_wins(finished(found, id_column=stable_id(F.lit("workbuddy"), F.col("session_id"), *key)), ["id"], ["timestamp", "source_file", "source_start"])
 
