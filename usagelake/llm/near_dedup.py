@@ -88,7 +88,8 @@ def trees_for(threshold: float, recall: float) -> int:
 
 def sketches(docs: DataFrame, size: int, trees: int) -> DataFrame:
     salts, odds = functions_of(trees * DEPTH)
-    schema = docs.select("doc_id").schema.add("n_shingles", "long").add("h1", "long").add("h2", "long").add("n_chars", "long").add("mins", ArrayType(IntegerType())).add("sketch", "binary")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    schema = docs.select("doc_id", "tk").schema.add("n_shingles", "long").add("h1", "long").add("h2", "long").add("n_chars", "long").add("mins", ArrayType(IntegerType())).add("sketch", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -107,9 +108,9 @@ def sketches(docs: DataFrame, size: int, trees: int) -> DataFrame:
                 h = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, mins.size + 1, trees * DEPTH, dtype=np.int32)), pa.array(mins.view(np.int32).ravel()))
                 sketch = pa.array([bytes(r) for r in mins.astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(chars, pa.int64()), lists, sketch], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tk"), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(chars, pa.int64()), lists, sketch], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 class Groups:
@@ -253,10 +254,11 @@ def exact_links(docs: DataFrame, classes: DataFrame, members: DataFrame, size: i
     """a, b: verified links that connect exactly what all links connect within families."""
     totals = members.join(classes.select("vid", "n_chars"), "vid").groupBy("family").agg(F.count("*").alias("members"), F.sum("n_chars").alias("chars"))
     totals = written(totals.withColumn("chunks", F.ceil(F.greatest(F.col("members") / FAMILY, F.col("chars") / FAMILY_CHARS)).cast("int")), "families")
-    ids = members.join(totals, "family").join(classes.select("vid", "doc_id", "n_shingles", "sketch", "h1", "h2"), "vid")
-    # A class is read back through one of its ids; the set is compared again where an id has several texts.
-    texts = prefiltered(docs, F.col("doc_id"), ids, F.col("doc_id")).select(F.col("doc_id").alias("_id"), "text")
-    rows = ids.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    ids = members.join(totals, "family").join(classes.select("vid", "doc_id", "tk", "n_shingles", "sketch", "h1", "h2"), "vid")
+    # A class is read back through one of its rows, by id and hash of the text; the set is compared again.
+    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tk"), "text")
+    texts = prefiltered(keyed, F.col("_tk"), ids, F.col("tk"))
+    rows = ids.join(texts, (F.col("tk") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_tk")
     rows = rows.select("family", "chunks", "vid", "n_shingles", "sketch", "h1", "h2", "text", F.pmod(F.xxhash64("vid"), F.col("chunks").cast("long")).alias("chunk"), F.lit(0).alias("role"), F.lit(-1).cast("long").alias("comp"))
     rows = same_set(rows, size)
     large = totals.where("chunks > 1")
@@ -284,19 +286,16 @@ def exact_links(docs: DataFrame, classes: DataFrame, members: DataFrame, size: i
 
 
 def same_set(rows: DataFrame, size: int) -> DataFrame:
-    """Rows whose text has the set it stands for."""
+    """One row of each class, whose text has the set it stands for."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for part in parts:
-            twice = part["vid"].duplicated(keep=False)
-            if twice.any():
-                digests = [np.frombuffer(xxhash.xxh3_128_digest(shingles(t, size, words).tobytes()), np.int64) for t in part["text"][twice]]
-                fits = np.array([d[0] == a and d[1] == b for d, a, b in zip(digests, part["h1"][twice], part["h2"][twice], strict=True)])
-                part = part.drop(index=part.index[twice][~fits]).drop_duplicates("vid")
-            yield part
+            digests = [np.frombuffer(xxhash.xxh3_128_digest(shingles(t, size, words).tobytes()), np.int64) for t in part["text"]]
+            fits = np.array([d[0] == a and d[1] == b for d, a, b in zip(digests, part["h1"], part["h2"], strict=True)], bool)
+            yield part[fits].drop_duplicates("vid")
 
-    return rows.mapInPandas(run, rows.schema).drop("h1", "h2")
+    return rows.mapInPandas(run, rows.schema).drop("h1", "h2").dropDuplicates(["vid"])
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, recall: float = 0.9999) -> DataFrame:
@@ -307,7 +306,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     trees = trees_for(num / den, recall)
     docs = docs.select("doc_id", "text")
     every = written(sketches(docs, size, trees), "sketches")
-    sets = every.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.max("n_chars").alias("n_chars"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch"))
+    sets = every.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("o"), F.first("n_shingles").alias("n_shingles"), F.max("n_chars").alias("n_chars"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch"))
+    sets = sets.withColumns({"doc_id": F.col("o.doc_id"), "tk": F.col("o.tk")}).drop("o")
     classes = written(sets.withColumn("vid", F.monotonically_increasing_id()), "classes")
     members = written(families(classes, trees, num, den), "members")
     links = exact_links(docs, classes, members, size, num, den)
