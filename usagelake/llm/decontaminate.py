@@ -11,7 +11,7 @@ most 1 - overlap of it; or enough of the question's word n-grams and of the answ
 its last question mark, else nothing, is the answer.
 
 The index travels to the executors; benchmark items are therefore taken in blocks of at most BLOCK_CHARS
-characters and each block searched by all passages. BM25 counts are those of the block.
+characters and each block searched by all passages. BM25 counts are those of the whole benchmark, so blocks don't matter.
 
 Defined cases: null or blank texts and items match nothing; items shorter than an n-gram are one n-gram of their
 whole; repeated items each get their hits; a null item_id keeps its hits; repeated rows hit alike; empty
@@ -31,7 +31,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.llm.common import without
 
 SEGMENT, PASSAGE, STEP = 48, 64, 32
 BLOCK_CHARS = 8_000_000
@@ -58,6 +57,21 @@ def parts_of(text: str | None, answer: str | None = None) -> tuple[list[bytes],
     return words_of(text), words_of(answer)
 
 
+@dataclass
+class Counts:
+    """What BM25 needs of all segments of the benchmark."""
+
+    segments: int = 0
+    words: int = 0
+    df: Counter = field(default_factory=Counter)
+
+    def add(self, items: list[tuple[list[bytes], list[bytes]]]) -> Counts:
+        for _, _, low, high, bag in Index.segments(items):
+            self.segments, self.words = self.segments + 1, self.words + high - low
+            self.df.update(bag.keys())
+        return self
+
+
 @dataclass
 class Index:
     items: list[tuple[list[bytes], list[bytes]]]  #: question and answer words
@@ -73,22 +87,30 @@ class Index:
     bounds: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))  #: greatest weight of each term in each range; last row: no term
 
     @staticmethod
-    def build(items: list[tuple[list[bytes], list[bytes]]]) -> Index:
-        index = Index(items)
-        bags = []
+    def segments(items: list[tuple[list[bytes], list[bytes]]]) -> Iterator[tuple[int, int, int, int, Counter]]:
+        """Item, words of it, first word and end of a segment, and the segment's words, for each segment."""
         for item, (question, answer) in enumerate(items):
             words = question + answer
-            index.lengths.append(len(words))
             count = -(-len(words) // SEGMENT)
             for part in range(count):
-                index.spans.append((len(words) * part // count, len(words) * (part + 1) // count))
-                bags.append(Counter(words[slice(*index.spans[-1])]))
-                index.of.append(item)
-        df = Counter(w for bag in bags for w in bag)
-        average = sum(sum(b.values()) for b in bags) / max(1, len(bags))
+                low, high = len(words) * part // count, len(words) * (part + 1) // count
+                yield item, len(words), low, high, Counter(words[low:high])
+
+    @staticmethod
+    def build(items: list[tuple[list[bytes], list[bytes]]], counts: Counts | None = None) -> Index:
+        """counts: of the whole benchmark, where items are a block of it."""
+        index = Index(items)
+        index.lengths = [len(question) + len(answer) for question, answer in items]
+        bags = []
+        for item, _, low, high, bag in Index.segments(items):
+            index.spans.append((low, high))
+            index.of.append(item)
+            bags.append(bag)
+        counts = counts or Counts().add(items)
+        n_segments, df, average = counts.segments, counts.df, counts.words / max(1, counts.segments)
         for segment, bag in enumerate(bags):
             size = sum(bag.values())
-            weight = {w: math.log1p((len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * size / average)) for w, n in bag.items()}
+            weight = {w: math.log1p((n_segments - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * size / average)) for w, n in bag.items()}
             own = sum(weight.values())
             for w, x in weight.items():
                 term = index.terms.setdefault(w, len(index.terms))
@@ -232,9 +254,17 @@ def indexes(benchmark: DataFrame) -> Iterator[tuple[list, Index]]:
     items = benchmark.select("item_id", F.col("question" if "question" in benchmark.columns else "text").alias("text"), (F.col("answer") if has_answer else F.lit(None).cast("string")).alias("answer"))
     chars = items.agg(F.sum(F.length(F.coalesce("text", F.lit(""))) + F.length(F.coalesce("answer", F.lit("")))), F.count("*")).first()
     blocks = max(1, -(-(chars[0] or 0) // BLOCK_CHARS), -(-chars[1] // 100_000))
-    for block in range(blocks):
+
+    def read(block: int) -> tuple[list, list]:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        yield [r["item_id"] for r in rows], Index.build([parts_of(r["text"], r["answer"]) for r in rows])
+        return [r["item_id"] for r in rows], [parts_of(r["text"], r["answer"]) for r in rows]
+
+    counts = Counts()
+    for block in range(blocks):
+        counts.add(read(block)[1])
+    for block in range(blocks):
+        names, parts = read(block)
+        yield names, Index.build(parts, counts)
 
 
 def hits_udf(names: list, index: Index, threshold: float, overlap: float, n: int):
@@ -249,20 +279,17 @@ def hits_udf(names: list, index: Index, threshold: float, overlap: float, n: int
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, n: int = 5) -> DataFrame:
-    """The rows of docs with _hits, an array of item_id, score, question_overlap, answer_overlap, first_word."""
-    out, columns = docs, []
-    for block, (names, index) in enumerate(indexes(benchmark)):
-        out = out.withColumn(f"_hits_{block}", hits_udf(names, index, threshold, overlap, n)(F.col("text")))
-        columns.append(f"_hits_{block}")
-    return out.withColumn("_hits", F.concat(*columns)).drop(*columns)
+    """The rows of docs as a struct `row`, with `hits`, an array of item, score, question_overlap, answer_overlap, first_word."""
+    found = [hits_udf(names, index, threshold, overlap, n)(F.col("row.text")) for names, index in indexes(benchmark)]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("hits", F.concat(*found))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, first_word of each verified hit."""
     found = with_hits(docs.select("doc_id", "text"), benchmark, **options)
-    return found.select("doc_id", F.explode("_hits").alias("h")).select("doc_id", F.col("h.item").alias("item_id"), "h.score", "h.question_overlap", "h.answer_overlap", "h.first_word")
+    return found.select("row.doc_id", F.explode("hits").alias("h")).select("doc_id", F.col("h.item").alias("item_id"), "h.score", "h.question_overlap", "h.answer_overlap", "h.first_word")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs without a verified hit."""
-    return without(with_hits(docs, benchmark, **options).where(F.size("_hits") == 0), "_hits")
+    return with_hits(docs, benchmark, **options).where(F.size("hits") == 0).select("row.*")
