@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,12 @@ CELLS = 4096
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where the session names none (a local test) is a temporary folder made and set.
+    Only where the session names none and all of Spark is on this machine (a test) is a temporary folder made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="usagelake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -40,15 +43,22 @@ def replaced(old: DataFrame, df: DataFrame, name: str) -> DataFrame:
     """df, made from the written table old, written in its turn; old goes, and so do the shuffle files that only it
     and df's own plan needed, which Spark frees once the driver has forgotten their plans."""
     new = written(df, name)
-    spark, path = df.sparkSession, old.written_at
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    spark = df.sparkSession
+    dropped(old)
     del df, old
     gc.collect()
     spark._jvm.System.gc()
     return new
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that no plan reads any more."""
+    for one in tables:
+        spark = one.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(one.written_at)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns called like one of names, in any letter case (an operator's own columns win)."""
     taken = {n.lower() for n in names}

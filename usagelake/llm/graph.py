@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from usagelake.llm.common import replaced, written
@@ -29,8 +29,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, seen = written(e, "edges"), None
     for _ in range(max_rounds):
-        e = replaced(e, _one_round(e), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen_in = Observation()
+        e = replaced(e, _one_round(e).observe(seen_in, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+        now = seen_in.get["n"], seen_in.get["sum"]
         if now == seen:
             break
         seen = now
