@@ -3,6 +3,7 @@
 import hashlib
 import html as html_module
 import itertools
+import math
 import random
 import re
 import zlib
@@ -57,6 +58,24 @@ def test_sharding_is_gapless_stable_and_moves_only_into_the_new_shard(spark):
         assign_shards(table, weights=(0.0,))
 
 
+def test_sharding_equals_a_second_rendezvous(spark):
+    rng = random.Random(21)
+    ids, texts = [None, 5, 5, *range(100, 220)], ["x", "y", "z", *(words(rng, 4) for _ in range(120))]
+    rows = assign_shards(docs(spark, texts, ids=ids)).select("doc_id", "text", "size", "text_crc32", "shard", "slot", "grown_shard").collect()
+
+    def bid(i, shard):
+        digest = hashlib.md5(f"shard:{'null' if i is None else f'k{i}'}:{shard}".encode()).hexdigest()
+        return -math.log((int(digest[:13], 16) + 0.5) / 2**52)
+
+    want = {}
+    for i, t in zip(ids, texts, strict=True):
+        size, crc = len(t.encode()) + 1, zlib.crc32(t.encode())
+        place = hashlib.md5(f"shard:{'null' if i is None else f'k{i}'}:{crc}:{size}".encode()).hexdigest()
+        want[i, t] = (size, crc, min(range(16), key=lambda s: bid(i, s)), min(range(17), key=lambda s: bid(i, s)), place)
+    slots = {k: sorted(v[4] for v in want.values() if v[2] == want[k][2]).index(want[k][4]) for k in want}
+    assert {(r.doc_id, r.text): (r.size, r.text_crc32, r.shard, r.grown_shard, r.slot) for r in rows} == {k: (*v[:4], slots[k]) for k, v in want.items()}
+
+
 # mixing
 def filled(sizes, weights, budget):
     target, open_ = {}, dict(sizes)
@@ -198,6 +217,17 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("5", "5"), ("5", "5"), ("None", "5"), ("None", "None")]
 
 
+def test_near_duplicates_where_ids_repeat(spark):
+    """One id with two texts in different partitions, and many rows without an id."""
+    rng = random.Random(22)
+    one, two = words(rng, 60).split(), words(rng, 60).split()
+    near = lambda t, k: " ".join([*t[:k], "changed", *t[k + 1 :]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one, 59)), (3, near(two, 0))] + [(None, words(rng, 30)) for _ in range(40)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_duplicates(table).collect() if r.doc_id)
+    assert found == [("1", 56, "1"), ("1", 56, "1"), ("2", 56, "1"), ("3", 56, "1")]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, j) for j in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
@@ -429,6 +459,47 @@ def test_decontamination_finds_items_and_leaves_the_rest(spark):
     assert contaminated(table, bench.limit(0)).count() == 0
 
 
+def test_blocks_of_the_benchmark_don_t_change_hits(spark, monkeypatch):
+    from usagelake.llm import decontaminate
+
+    rng = random.Random(23)
+    items = [words(rng, 30, 300) for _ in range(12)]
+    texts = [words(rng, 80, 300) + " " + items[i] + " " + words(rng, 40, 300) for i in range(6)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    table = docs(spark, texts + texts[:1]).withColumn("_hits", F.lit(7)).withColumn("hits", F.lit(8)).withColumn("row", F.lit(9))
+    once = sorted(map(str, contaminated(table, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 900)
+    assert sorted(map(str, contaminated(table, bench).collect())) == once and len(once) == 7
+    clean = table.unionByName(table.limit(1).withColumn("text", F.lit("nothing of it here")))
+    kept = decontaminated(clean, bench)
+    assert kept.columns == table.columns and [(r.text, r._hits, r.hits, r.row) for r in kept.collect()] == [("nothing of it here", 7, 8, 9)]
+
+
+def test_hits_equal_plain_search():
+    """All passages by plain BM25 scores of all segments, each verified: the same hits as through ranges and block-max WAND."""
+    rng = random.Random(24)
+    items = [parts_of(words(rng, n, 200)) for n in (20, 30, 60, 90, 150, 10, 25) for _ in range(6)]
+    index = Index.build(items)
+    for _ in range(12):
+        text = words(rng, 100, 200).split()
+        for i in rng.sample(range(len(items)), 3):
+            own = [w.decode() for w in items[i][0]]
+            if rng.random() < 0.5:
+                own[rng.randrange(len(own))] = "edited"
+            at = rng.randrange(len(text))
+            text[at:at] = own
+        tokens, best = " ".join(text).encode().split(), {}
+        for start in range(0, max(1, len(tokens) - 32), 32):
+            bag = {index.terms[w] for w in tokens[start : start + 64] if w in index.terms}
+            for segment in range(len(index.of)):
+                score = sum(w for t in bag for s, w in zip(index.postings[t], index.weights[t], strict=True) if s == segment)
+                if score >= 0.5 - 1e-9:
+                    index.verify(best, tokens, start, segment, score, 0.8, 5)
+        want = [best[i] for i in sorted(best)]
+        got = index.hits(" ".join(text), 0.5, 0.8, 5)
+        assert [(h[0], h[2], h[3]) for h in got] == [(h[0], h[2], h[3]) for h in want] and np.allclose([h[1] for h in got], [h[1] for h in want])
+
+
 def test_alignment_equals_edit_distance():
     rng = random.Random(15)
     for _ in range(200):
@@ -642,6 +713,21 @@ def test_windows_cover_all_words(n):
     assert at[0] == 0 and all(b - a == 16 for a, b in itertools.pairwise(at)) and at[-1] + 32 >= n and (len(at) == 1 or at[-2] + 32 < n)
 
 
+def test_fast_scores_equal_forward():
+    rng = np.random.default_rng(4)
+    net = Network([b"a", b"b", b"c"], seed=5)
+    vocabulary = [b"a", b"b", b"c", b"other", b"x" * 20]
+    table = net.inputs(vocabulary)
+    which = rng.integers(0, 5, (32, 40))
+    mask = (np.arange(32)[:, None] < rng.integers(1, 33, 40)[None]).astype(np.float32)
+    x = table[which].transpose(0, 2, 1).copy()
+    want = net.forward(x[:, :24], x[:, 24:], mask)
+    products = np.ascontiguousarray(table.T)
+    products[:16] *= 0.5
+    products[24:40] *= 0.5
+    assert np.allclose(net.scores(products.astype(np.float32), which, mask), want, atol=1e-4)
+
+
 def test_batches_don_t_matter():
     rng = random.Random(13)
     texts = [words(rng, rng.randrange(0, 300)) for _ in range(60)] + ["", None]
