@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from usagelake.plans.queries import ORACLES, QUERIES
+from usagelake.plans import queries, sessions
+
+QUERIES, ORACLES = {**queries.QUERIES, **sessions.QUERIES}, {**queries.ORACLES, **sessions.ORACLES}
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

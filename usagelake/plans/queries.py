@@ -358,10 +358,14 @@ def total_fallback(spark, sf_dir):
     return e.select("event_id", u.alias("u")).select("event_id", *[f"u.{c}" for c in ("input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")])
 
 
-@query(f"with {KS} select event_id, greatest(k - k % 40, 0) input_tokens, k % 40 cache_read_input_tokens from ks")
+@query(f"with {KS} select event_id, case when event_id % 60 <= k then k - event_id % 60 else 0 end::bigint input_tokens, event_id % 60 cache_read_input_tokens, k % 9 output_tokens, (k + k % 9)::bigint total_tokens from ks")
 def disjoint_token_buckets(spark, sf_dir):
-    cached = F.col("k") % 40
-    return a.k_of(a.read(spark, sf_dir, "events")).select("event_id", F.greatest(F.col("k") - cached, F.lit(0)).cast("long").alias("input_tokens"), cached.alias("cache_read_input_tokens"))
+    from usagelake.providers.stateful import codex_account
+
+    cached, out = F.col("event_id") % 60, F.col("k") % 9
+    counts = F.struct(F.col("k").alias("input_tokens"), cached.alias("cached_input_tokens"), out.alias("output_tokens"), F.lit(0).alias("reasoning_output_tokens"), (F.col("k") + out).alias("total_tokens"))
+    u = a.k_of(a.read(spark, sf_dir, "events")).select("event_id", codex_account(counts).alias("u"))
+    return u.select("event_id", *[f"u.{c}" for c in ("input_tokens", "cache_read_input_tokens", "output_tokens", "total_tokens")])
 
 
 @query(f"with {KS} select event_id, case when k % 4 <> 0 then k % 4 when k % 5 <> 0 then k % 5 else 0 end n, case event_id % 6 when 0 then 12 when 1 then 12 when 2 then 9223372036854775807 when 5 then 1000 else 0 end::bigint c from ks")
@@ -403,10 +407,19 @@ def envelope_changes(spark, sf_dir):
     return one.select("c.path", "c.lines_added", "c.lines_removed")
 
 
-@query(f"""with {USAGE} select seq, '{{"provider":"' || provider || '","session_id":"' || session_id || '","project":"' || project || '","output_tokens":' || output_tokens::varchar || '}}' event from usage where output_tokens > 0""")
+@query(f"""with {USAGE} select seq, provider, session_id, project, sha256(project_path) project_path_hash, case when input_tokens = 0 then -1 else input_tokens end input_tokens, output_tokens, total_tokens,
+ 'src/f' || (seq % 9)::varchar || '.py' entity, case when seq % 3 = 0 then 'f.go' end file, case when seq % 4 = 0 then -1 else seq % 4 end::bigint lines_added, false has_root from usage where output_tokens > 0""")
 def wire_projection(spark, sf_dir):
-    rows = a.usage_events(spark, sf_dir).where("usage.output_tokens > 0")
-    return rows.select("seq", F.to_json(F.struct("provider", "session_id", "project", F.nullif(F.col("usage.output_tokens"), F.lit(0)).alias("output_tokens"))).alias("event"))
+    from usagelake.plans.export import wire_events
+    from usagelake.schema import as_events
+
+    rows = a.usage_events(spark, sf_dir).where("usage.output_tokens > 0").withColumn("id", F.col("seq").cast("string"))
+    change = F.struct(F.lit("/elsewhere/f.go").alias("path"), (F.col("seq") % 4).alias("lines_added"), F.lit(0).cast("long").alias("lines_removed"))
+    rows = rows.withColumns({"entity": F.concat("project_path", F.lit("/src/f"), (F.col("seq") % 9).cast("string"), F.lit(".py")), "files": F.when(F.col("seq") % 3 == 0, F.array(change)).otherwise(F.array().cast("array<struct<path:string,lines_added:bigint,lines_removed:bigint>>")), "lines_added": F.col("seq") % 4})
+    events = wire_events(as_events(rows), "UTC")
+    get = lambda path, kind="string": F.get_json_object("event", f"$.{path}").cast(kind)
+    texts, counts = ("provider", "session_id", "project", "project_path_hash", "entity"), ("input_tokens", "output_tokens", "total_tokens", "lines_added")
+    return events.select(F.col("id").cast("long").alias("seq"), *[get(c).alias(c) for c in texts], *[F.coalesce(get(c, "long"), F.lit(-1)).alias(c) for c in counts], get("files[0].path").alias("file"), F.col("event").contains("/work/").alias("has_root"))
 
 
 @query(f"""with {USAGE} select provider, project, total_tokens, sessions, level from (select provider, project, sum(total_tokens)::bigint total_tokens, count(distinct session_id) sessions, grouping_id(provider, project)::bigint level from usage group by cube (provider, project))""")
@@ -420,6 +433,9 @@ def latest_snapshots(spark, sf_dir):
     return summary.latest_snapshots(rows).select("provider", "session_id", "seq")
 
 
-@query()
+@query(f"""with {USAGE}, g as (select *, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by provider, project order by ts, seq)) > 1800000000, true)::int first_ from usage),
+ n as (select *, sum(first_) over (partition by provider, project order by ts, seq rows between unbounded preceding and current row) window_ from g)
+ select provider, project, min(epoch_us(ts)) start_us, max(epoch_us(ts)) + 1800000000 end_us, count(*) events, sum(total_tokens)::bigint total_tokens from n group by provider, project, window_""")
 def session_windows(spark, sf_dir):
-    return summary.session_windows(a.usage_events(spark, sf_dir))
+    w = summary.session_windows(a.usage_events(spark, sf_dir))
+    return w.select("provider", "project", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events", "total_tokens")
