@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from usagelake.functions import ids, language, patches, paths, text, times, tokens
 from usagelake.functions.ids import COUNTERS
-from usagelake.operators import dedupe, files, precedence, queue, sequence, summary
+from usagelake.operators import dedupe, files, order, precedence, queue, sequence, summary
 from usagelake.plans import adapters as a
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -439,3 +439,15 @@ def latest_snapshots(spark, sf_dir):
 def session_windows(spark, sf_dir):
     w = summary.session_windows(a.usage_events(spark, sf_dir))
     return w.select("provider", "project", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events", "total_tokens")
+
+
+@query(f"with {USAGE} select seq, provider from usage order by ts desc, lpad(seq::varchar, 12, '0') limit 250")
+def newest_entries(spark, sf_dir):
+    rows = a.usage_events(spark, sf_dir).withColumn("id", F.lpad(F.col("seq").cast("string"), 12, "0"))
+    return order.newest_first(rows).limit(250).select("seq", "provider")
+
+
+@query(f"with {USAGE} select seq, provider from usage where provider = 'view' order by ts, lpad(seq::varchar, 12, '0') limit 250")
+def oldest_entries(spark, sf_dir):
+    rows = a.usage_events(spark, sf_dir).where("provider = 'view'").withColumn("id", F.lpad(F.col("seq").cast("string"), 12, "0"))
+    return order.oldest_first(rows).limit(250).select("seq", "provider")

@@ -36,8 +36,10 @@ class SqliteReader(DataSourceReader):
             picked = ", ".join(f'"{c}"' if c.lower() in have else "''" for c in self.columns)
             for number, row in enumerate(db.execute(f'SELECT {picked} FROM "{self.table}"' + (f" WHERE {self.where}" if self.where else ""))):
                 yield partition.path, number, *[cell(v) for v in row]
-        except sqlite3.OperationalError:
-            return
+        except sqlite3.OperationalError as e:
+            # A column that a condition needs may be missing; an error while rows are read must not pass for their end.
+            if "no such column" not in str(e):
+                raise
         finally:
             db.close()
 
