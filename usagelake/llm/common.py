@@ -6,6 +6,8 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +38,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.parquet(path)
     table.written_at = path
+    if _open:
+        _open[-1].tables.append(table)
     return table
 
 
+class Scratch:
+    """Tables written while it is open; they go when it closes, but for those that are kept."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.append(table)
+        return table
+
+
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """For steps whose result is a written table: what else they write is deleted at their end, and Spark frees their shuffle
+    files once the driver has forgotten their plans. What is kept belongs to the steps around, if those are in a scratch, too."""
+    own = Scratch()
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.remove(own)
+    if _open:
+        _open[-1].tables += own.kept
+    spark = own.kept[0].sparkSession if own.kept else None
+    kept = {t.written_at for t in own.kept}
+    dropped(*[t for t in own.tables if t.written_at not in kept])
+    own.tables.clear()
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def replaced(old: DataFrame, df: DataFrame, name: str) -> DataFrame:
     """df, made from the written table old, written in its turn; old goes, and so do the shuffle files that only it
     and df's own plan needed, which Spark frees once the driver has forgotten their plans."""
