@@ -3,6 +3,11 @@ group stays, documents with benchmark items go, sources are mixed to their weigh
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame that
 is written as Parquet and read again as the next stage's docs. All but the last return the columns of documents.
+
+Defined cases, for all stages: a null text counts as empty, is clean, near to nothing, holds no benchmark item, has no words and goes
+to a shard; a null id is an id like others (near_dedup decides by id: rows that share one, null included, stay if one of them would); a null source
+is a source of its own, the last; rows repeated in full are kept alike until mix, where each counts; very long texts are read whole; an empty
+table stays empty; columns beside doc_id, text and source pass through, but for those called like a column that shard adds.
 """
 
 from __future__ import annotations
