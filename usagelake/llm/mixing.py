@@ -113,14 +113,14 @@ def mixed_counts(docs: DataFrame, **options) -> DataFrame:
     return full.unionByName(mix.placed.where("size = 0").select(*digest, F.lit(0).cast("long").alias("taken")))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, block_words: int = 64, max_repeat: int = 2, **options) -> DataFrame:
     """The documents of the mix with all their columns: one copy for each of a document's turns of which a slot takes
     a piece. Texts stay whole, so a source may pass its slots' words by less than one document. A document
     without words is kept once, since it changes no source's share."""
-    mix = mixture(docs, carry=docs.columns, **options)
-    # A source's slots take its run from the start, so a document that is in turn t is in all turns before.
-    turns = mix.pieces.groupBy("source_key", "at").agg((F.max("turn") + 1).alias("_turns"))
-    carried = [F.col(f"_carry_{i}") for i in range(len(docs.columns))]
-    copies = mix.placed.where("size > 0").join(turns, ["source_key", "at"]).select(*carried, F.explode(F.sequence(F.lit(1), F.col("_turns"))).alias("_turn")).drop("_turn")
-    copies = copies.unionByName(mix.placed.where("size = 0").select(*carried))
+    mix = mixture(docs, block_words=block_words, max_repeat=max_repeat, carry=docs.columns, **options)
+    # The slots of a source take its run from the start, so a turn has a piece if it starts before the words they take: no join
+    # with the pieces is needed, which would shuffle all texts once more.
+    taken = F.col("slots") * block_words
+    turns = F.when(F.col("size") == 0, 1).otherwise(sum((F.col("at") + t * F.col("source_size") < taken).cast("int") for t in range(max_repeat)))
+    copies = mix.placed.withColumn("_turns", turns).where("_turns > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns"))))
     return copies.select(*[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(docs.columns)])
