@@ -77,6 +77,37 @@ def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from usagelake.llm.resample import importance_ranks
+
+    return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from usagelake.llm.bpe import Vocabulary, token_count
+
+    vocabulary = Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    ids = table(spark, sf_dir, "documents").select("doc_id", vocabulary.encode(F.col("text")).alias("ids"))
+    decoded = ids.withColumn("decoded", vocabulary.decode(F.col("ids")))
+    return decoded.select("doc_id", token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from usagelake.llm.merkle import folded, leaf, manifest, proof
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = leaf([F.try_add(F.col(f), F.lit(1)) if f == "n_chars" else F.col(f) for f in fields])
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = manifest(table(spark, sf_dir, "documents"), "doc_id", "lang", fields, keep={"altered": F.when(hit, altered)})
+    rows = rows.withColumn("folded_root", folded(F.coalesce("altered", "leaf"), F.col("sides"), F.col("siblings")))
+    return rows.select("doc_id", "leaf", "subroot", "root", proof(F.col("siblings")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -88,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_sharding": op9_sharding,
     "op10_vector_topk": op10_vector_topk,
+    "op11_resample": op11_resample,
+    "op12_bpe": op12_bpe,
+    "op13_merkle": op13_merkle,
 }
 #: Exact integers and ties, so SQL can say the same.
 TOP_K = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings
@@ -128,4 +162,44 @@ runs as (select rid, sk, at_ + turn * ss begins, at_ + turn * ss + size ends fro
 pieces as (select rid, sum(least(ends, block * 64 + 64) - greatest(begins, block * 64))::bigint n from runs join slots using (sk) where block * 64 < ends and block * 64 + 64 > begins group by rid)
 select doc_id, size, ss source_size, target, coalesce(n, 0) taken from p left join pieces using (rid)"""
 
-ORACLES: dict[str, str] = {"op10_vector_topk": TOP_K, "op7_mixing": MIXING, "op5_near_dedup": NEAR}
+#: CRC-32 by its table of 256 steps (t), over the bytes of a string f.
+CRC_TABLE = """crc_table as (select list(c order by i) t from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c from range(256) r(i)))"""
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(hex(f)) // 2), lambda j: ('0x' || substr(hex(f), 2 * j + 1, 2))::bigint)), lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)))"""
+
+RESAMPLE = rf"""with {CRC_TABLE},
+d as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+x as (select rid, unnest(w) f from d), y as (select unnest(w) f from b),
+k as (select f, {CRC} % 10000 bucket from (select f from x union select f from y), crc_table),
+s as (select bucket, count(*)::bigint s from x join k using (f) group by bucket), t as (select bucket, count(*)::bigint t from y join k using (f) group by bucket),
+g as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from x) + 10000)::double / ((s + 1)::double * ((select count(*) from y) + 10000)::double)))::bigint gain from s left join t using (bucket)),
+m as (select rid, sum(gain)::bigint total, count(*)::bigint n from x join k using (f) join g using (bucket) group by rid),
+w as (select rid, doc_id, coalesce(n, 0) n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::bigint weight,
+  floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::varchar, 'null'))[1:8])::bigint + 0.5) / 4294967296)))::bigint noise from d left join m using (rid)),
+e as (select rid, row_number() over (order by weight + noise desc, doc_id nulls last) place, (count(*) over () * 10) // 100 drawn from w where n_features >= 20)
+select doc_id, n_features, weight, weight + noise score, case when place <= drawn then place end "rank" from w left join e using (rid)"""
+
+MERKLE = f"""with recursive {CRC_TABLE},
+fields as (select doc_id, coalesce('s' || lang, '') g, case when ({CRC}) % 7 = 0 then 1 else 0 end added,
+  [doc_id::varchar, source, lang, n_chars::varchar, text] o, n_chars from (select *, doc_id::varchar f from documents), crc_table),
+hashed as (select doc_id, g, list_aggregate(list_transform(o, lambda v: case when v is null then '-' else octet_length(encode(v)) || ':' || v end), 'string_agg', '') o,
+  list_aggregate(list_transform([o[1], o[2], o[3], (n_chars + added)::varchar, o[5]], lambda v: case when v is null then '-' else octet_length(encode(v)) || ':' || v end), 'string_agg', '') c from fields),
+leaves as (select doc_id, g, sha256(o) leaf, sha256(c) altered, row_number() over (partition by g order by doc_id, sha256(o)) - 1 pos, count(*) over (partition by g) n from hashed),
+tree as (select g, 0 level, pos, n, leaf node from leaves
+  union all select g, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' order by pos)) from tree where n > 1 group by g, level, pos // 2, n),
+ends as (select g, row_number() over (order by g) - 1 pos, count(*) over () n, node subroot from tree where n = 1),
+crown as (select 0 level, pos, n, subroot node from ends
+  union all select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' order by pos)) from crown where n > 1 group by level, pos // 2, n),
+step as (select l.g, l.pos, h.level, case when s.node is null then '-' when (l.pos >> h.level) & 1 = 1 then 'L' || s.node else 'R' || s.node end step
+  from leaves l join (select distinct g, level from tree where n > 1) h using (g) left join tree s on s.g = l.g and s.level = h.level and s.pos = xor(l.pos >> h.level, 1)
+  union all select e.g, null, 1000 + h.level, case when s.node is null then '-' when (e.pos >> h.level) & 1 = 1 then 'L' || s.node else 'R' || s.node end
+  from ends e join (select distinct level from crown where n > 1) h on true left join crown s on s.level = h.level and s.pos = xor(e.pos >> h.level, 1)),
+own as (select g, pos, list(step order by level) steps from step where pos is not null group by g, pos),
+shared as (select g, list(step order by level) steps from step where pos is null group by g),
+paths as (select doc_id, leaf, altered, subroot, (select node from crown where n = 1) root, list_concat(coalesce(o.steps, []), coalesce(h.steps, [])) steps
+  from leaves l join ends using (g) left join own o on o.g = l.g and o.pos = l.pos left join shared h on h.g = l.g),
+done as (select *, sha256(coalesce(list_aggregate(list_transform(steps, lambda x: x[2:]), 'string_agg', ''), '')) proof_sha256,
+  list_reduce(list_prepend(altered, steps), lambda a, x: sha256(case x[1] when 'L' then x[2:] || a when 'R' then a || x[2:] else a end)) folded_root from paths)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root verified from done"""
+
+ORACLES: dict[str, str] = {"op10_vector_topk": TOP_K, "op7_mixing": MIXING, "op5_near_dedup": NEAR, "op11_resample": RESAMPLE, "op13_merkle": MERKLE}
