@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from usagelake.llm import bpe, resample
-from usagelake.llm.bpe import Codec, Vocabulary, merged, token_count
+from usagelake.llm.bpe import Codec, Vocabulary, merged, merged_all, token_count
 from usagelake.llm.merkle import Treehash, block_root, folded, joined, leaf, manifest, proof, traversal
 from usagelake.llm.queries import op12_bpe
 from usagelake.llm.resample import importance_ranks, resampled
@@ -131,6 +131,11 @@ def test_merged_takes_the_leftmost_lowest_rank():
             _, at = min((merges[p][0], i) for i, p in enumerate(zip(want, want[1:], strict=False)) if p in merges)
             want[at : at + 2] = [merges[want[at], want[at + 1]][1]]
         assert merged(symbols, merges) == want
+        codes = sorted((a << 32 | b, rank) for (a, b), (rank, _) in merges.items()) or [(-1, 0)]
+        wide, becomes = np.full((3, 64), -1), np.array([dict(merges.values()).get(rank, -1) for rank in range(25)])
+        wide[1, : len(symbols)] = symbols
+        done = merged_all(wide, np.array([0, len(symbols), 0]), np.array([c for c, _ in codes]), np.array([r for _, r in codes]), becomes)
+        assert [x for x in done[1].tolist() if x >= 0] == want and (done[[0, 2]] == -1).all()
 
 
 def test_every_code_point_encodes_as_in_the_library(codec, library):
