@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 #: What the byte-level scheme takes as one piece: fixed by the vocabularies made with it.
 PIECE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a text that are cut into pieces at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Pieces that are remembered.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Bytes of the pieces whose trees stand side by side, by the width of a tree; so many trees at once.
-WIDTHS, ABREAST = (8, 16, 32, 64), 1 << 14
+WIDTHS, ABREAST = (8, 16, 32, 64), 1 << 13
 NEVER = 1 << 62
 #: A vocabulary file goes to all workers, so it must be no larger.
 MOST_BYTES = 64 << 20
@@ -269,8 +269,13 @@ class Vocabulary:
             for ids in batches:
                 yield pa.array([one.decode(i) for i in ids.to_pylist()], pa.string())
 
-        encode.__annotations__ = decode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for ids in encode(batches):
+                yield pa.StructArray.from_arrays([ids, *decode(iter([ids]))], ["ids", "text"])
+
+        encode.__annotations__ = decode.__annotations__ = both.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         self._encode, self._decode = F.arrow_udf(encode, "binary"), F.arrow_udf(decode, "string")
+        self._both = F.arrow_udf(both, "struct<ids: binary, text: string>")
 
     def encode(self, text: Column) -> Column:
         """The packed ids of a text."""
@@ -281,5 +286,10 @@ class Vocabulary:
         return self._decode(F.coalesce(packed, F.lit(b"")))
 
 
+    def round_trip(self, text: Column) -> Column:
+        """struct(ids, text): the packed ids of a text and what they decode to, both by the same worker."""
+        return self._both(F.coalesce(text, F.lit("")))
+
+
 def token_count(packed: Column) -> Column:
     return (F.octet_length(packed) / 4).cast("long")

@@ -90,9 +90,8 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from usagelake.llm.bpe import Vocabulary, token_count
 
     vocabulary = Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
-    ids = table(spark, sf_dir, "documents").select("doc_id", vocabulary.encode(F.col("text")).alias("ids"))
-    decoded = ids.withColumn("decoded", vocabulary.decode(F.col("ids")))
-    return decoded.select("doc_id", token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", vocabulary.round_trip(F.col("text")).alias("made"))
+    return rows.select("doc_id", token_count(F.col("made.ids")).alias("n_tokens"), F.sha2("made.ids", 256).alias("ids_sha256"), F.sha2(F.col("made.text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
