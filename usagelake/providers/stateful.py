@@ -96,7 +96,7 @@ def load_claude(spark: SparkSession, paths: list[str], dedupe: str = "best") ->
     return finished(rows, keep_zero=True, id_column=claude_id())
 
 
-register_provider(Provider("claude", load_claude, (), claude_lines))
+register_provider(Provider("claude", load_claude, (), claude_lines, lambda project: lambda path: path.contains(f"/projects/{project}/")))
 
 
 # codex
