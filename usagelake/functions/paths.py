@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from usagelake.functions.binding import let
 
 
+#: Paths that aren't as short as they can be; the others needn't be taken apart.
+UNCLEAN = r"^$|//|(^|/)\.\.?(/|$)|[^/]/$"
+
+
 def is_absolute(path: Column) -> Column:
     return path.startswith("/")
 
 
 def clean(path: Column) -> Column:
     """The shortest equal path: no empty or "." parts, ".." resolved where it can be; "" becomes "."."""
-    return let(path, _clean)
+    return let(path, lambda p: F.when(p.rlike(UNCLEAN), _clean(p)).otherwise(p))
 
 
 def _clean(path: Column) -> Column:
@@ -70,9 +74,9 @@ def _steps(a: Column, b: Column) -> Column:
 
 def ancestors(path: Column) -> Column:
     """The clean path's directories from itself up to "/"; an empty array for "" and relative paths."""
-    parts = F.filter(F.split(clean(path), "/"), lambda x: x != "")
-    up = F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
-    return F.when(is_absolute(path), up).otherwise(F.array().cast("array<string>"))
+    up = lambda parts: F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
+    none = F.array().cast("array<string>")
+    return F.when(is_absolute(path), let(F.filter(F.split(clean(path), "/"), lambda x: x != ""), up)).otherwise(none)
 
 
 def resolve_path(cwd: Column, path: Column) -> Column:

@@ -39,10 +39,17 @@ def unacknowledged(sent: DataFrame, *acknowledged: DataFrame) -> DataFrame:
     return sent.join(known, "id", "left_anti")
 
 
-def nearest_ancestor(rows: DataFrame, path: Column, marks: DataFrame, key: list[str]) -> DataFrame:
-    """rows with the columns of the mark (dir, ...) in the nearest directory at or above path; null without one."""
+def ancestor_marks(rows: DataFrame, path: Column, marks: DataFrame, key: list[str], kinds: dict[str, Column]) -> DataFrame:
+    """key and a struct for each of kinds: the mark (dir, ...) in the nearest directory at or above path for which the kind's
+    condition holds, null without one. Rows without any mark are left out."""
     from usagelake.functions.paths import ancestors
 
-    steps = rows.select(*key, F.posexplode(ancestors(path)).alias("_height", "dir"))
-    found = survivor(steps.join(marks, "dir"), key, [F.col("_height").asc()]).drop("_height")
-    return rows.join(found, key, "left")
+    steps = rows.select(*key, F.posexplode(ancestors(path)).alias("_height", "dir")).join(marks, "dir")
+    nearest = [F.min_by(F.struct(*marks.columns), F.when(holds, F.col("_height"))).alias(kind) for kind, holds in kinds.items()]
+    return steps.groupBy(*key).agg(*nearest)
+
+
+def nearest_ancestor(rows: DataFrame, path: Column, marks: DataFrame, key: list[str]) -> DataFrame:
+    """rows with the columns of the mark (dir, ...) in the nearest directory at or above path; null without one."""
+    found = ancestor_marks(rows, path, marks, key, {"_mark": F.lit(True)})
+    return rows.join(found.select(*key, "_mark.*"), key, "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from usagelake.functions import ids, language, patches, paths, text, times, tokens
 from usagelake.functions.ids import COUNTERS
-from usagelake.operators import dedupe, files, order, precedence, queue, sequence, summary
+from usagelake.operators import dedupe, files, identity, order, precedence, queue, sequence, summary
 from usagelake.plans import adapters as a
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,3 +451,34 @@ def newest_entries(spark, sf_dir):
 def oldest_entries(spark, sf_dir):
     rows = a.usage_events(spark, sf_dir).where("provider = 'view'").withColumn("id", F.lpad(F.col("seq").cast("string"), 12, "0"))
     return order.oldest_first(rows).limit(250).select("seq", "provider")
+
+
+@query("""with sup as (select s_suppkey sk, '/w/n' || s_nationkey || '/s' || s_suppkey dir, s_nationkey nk from supplier),
+ marks as (select dir, sk % 3 <> 0 identity, case sk % 5 when 0 then '' when 1 then 'team ' || sk when 2 then nk || '/{project}' when 3 then '{project}-{project}' else ' ' end said, case when sk % 2 = 0 then 'release/' || sk else '' end branch, sk % 7 = 1 broken, sk % 4 = 1 vcs from sup
+  union all select '/w/n' || n_nationkey, n_nationkey % 2 = 0, 'all of {project}', '', n_nationkey % 10 = 4, n_nationkey % 3 = 0 from nation union all select '/w/own', true, 'shared', 'main', false, false
+  union all select distinct dir || '/p' || (p_partkey % 3), false, '', '', false, true from sup join part on p_partkey % 50 = sk % 50),
+ e as (select *, case when l_linenumber % 4 = 0 then '/plans/o' || l_orderkey % 9 when l_linenumber % 4 = 1 then '' else dir || '/p' || l_partkey % 3 || '/src' end a, case when l_orderkey % 5 = 0 then '/w/own/x' when l_orderkey % 5 = 1 then '' when l_orderkey % 5 = 2 then '' else dir end b,
+  case when l_orderkey % 5 = 2 then 'w/own' when l_orderkey % 5 = 0 then '/w/own/x' when l_orderkey % 5 = 1 then '' else dir end old from lineitem join sup on sk = l_suppkey),
+ st as (select distinct a start from e union select distinct b from e),
+ near as (select start, (select arg_max(struct_pack(dir, said, branch, broken), length(dir)) from marks m where m.identity and (start = m.dir or starts_with(start, m.dir || '/'))) i, (select arg_max(dir, length(dir)) from marks m where m.vcs and (start = m.dir or starts_with(start, m.dir || '/'))) repo from st where start <> ''),
+ x as (select e.*, case when na.i is not null then na.i else nb.i end i, case when na.i is not null then na.repo else nb.repo end repo from e left join near na on na.start = a left join near nb on nb.start = b),
+ y as (select *, i is not null and not i.broken found, split_part(i.dir, '/', -1) own, replace(trim(case when trim(i.said) = '' then split_part(i.dir, '/', -1) else i.said end), '{project}', split_part(coalesce(repo, i.dir), '/', -1)) name from x)
+ select case when found then name else 'old' end project, case when found then i.dir else old end project_path, case when found and i.branch <> '' then i.branch when found then 'b' else ' b' end branch, count(*) events, sum(l_quantity)::bigint quantity from y group by all""")
+def project_identity(spark, sf_dir):
+    """Events of lineitem in trees of supplier, whose folders and those above and below are marked by rule."""
+    s = a.read(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").withColumn("dir", F.concat(F.lit("/w/n"), "s_nationkey", F.lit("/s"), "s_suppkey"))
+    sk, nk, n = F.col("s_suppkey"), F.col("s_nationkey"), F.col("n_nationkey")
+    said = F.element_at(F.array(F.lit(""), F.concat(F.lit("team "), sk), F.concat(nk, F.lit("/{project}")), F.lit("{project}-{project}"), F.lit("")), (sk % 5 + 1).cast("int"))
+    row = lambda d, i, p, b, broken, vcs: [d.alias("dir"), i.alias("identity"), p.alias("said_project"), b.alias("said_branch"), broken.alias("broken"), vcs.alias("vcs")]
+    none, no, yes = F.lit(""), F.lit(False), F.lit(True)
+    below = s.join(a.read(spark, sf_dir, "part", "p_partkey"), F.col("p_partkey") % 50 == sk % 50).select(F.concat("dir", F.lit("/p"), F.col("p_partkey") % 3).alias("dir")).distinct()
+    marks = s.select(*row(F.col("dir"), sk % 3 != 0, said, F.when(sk % 2 == 0, F.concat(F.lit("release/"), sk)).otherwise(""), sk % 7 == 1, sk % 4 == 1))
+    marks = marks.unionAll(a.read(spark, sf_dir, "nation").select(*row(F.concat(F.lit("/w/n"), n), n % 2 == 0, F.lit("all of {project}"), none, n % 10 == 4, n % 3 == 0)))
+    marks = marks.unionAll(spark.range(1).select(*row(F.lit("/w/own"), yes, F.lit("shared"), F.lit("main"), no, no))).unionAll(below.select(*row(F.col("dir"), no, none, none, no, yes)))
+    e = a.read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").join(s, F.col("l_suppkey") == sk)
+    line, order_ = F.col("l_linenumber") % 4, F.col("l_orderkey") % 5
+    entity = F.when(line == 0, F.concat(F.lit("/plans/o"), F.col("l_orderkey") % 9, F.lit("/plan.md"))).when(line == 1, F.lit("main.py")).otherwise(F.concat("dir", F.lit("/p"), F.col("l_partkey") % 3, F.lit("/./src/a.py")))
+    path = F.when(order_ == 0, "/w/own/x").when(order_ == 1, "").when(order_ == 2, "w/own").otherwise(F.col("dir"))
+    events = e.select(entity.alias("entity"), path.alias("project_path"), F.lit("old").alias("project"), F.lit(" b").alias("branch"), "l_quantity")
+    rows = identity.with_identity(events, marks)
+    return rows.groupBy("project", "project_path", "branch").agg(F.count("*").alias("events"), F.sum("l_quantity").cast("long").alias("quantity"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from usagelake.operators.identity import IDENTITY_FILE, with_identity
 from usagelake.plans.export import enqueue
 from usagelake.providers.base import REGISTRY
 from usagelake.sources.tail import TailSource
@@ -19,11 +20,11 @@ def tailed_lines(spark: SparkSession, paths: list[str], *needed: str) -> DataFra
     return rows.select("path", F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000)).alias("mtime"), "line", "start", "stop", "value")
 
 
-def ingest(spark: SparkSession, provider: str, paths: list[str], store, checkpoint: str, once: bool = True, every: str = "5 minutes") -> StreamingQuery:
+def ingest(spark: SparkSession, provider: str, paths: list[str], store, checkpoint: str, once: bool = True, every: str = "5 minutes", identity: str | DataFrame | None = IDENTITY_FILE) -> StreamingQuery:
     """A query that puts a provider's new events into the queue of a store.
 
     Each batch is inserted before its offsets are committed, and ids make a repeated batch harmless. A batch is
-    parsed by itself: a patch at its start belongs to the first usage row of the batch.
+    parsed by itself: a patch at its start belongs to the first usage row of the batch. Identity files name projects.
     """
     p = REGISTRY[provider]
     if p.from_lines is None:
@@ -31,6 +32,7 @@ def ingest(spark: SparkSession, provider: str, paths: list[str], store, checkpoi
 
     def insert(batch: DataFrame, _: int) -> None:
         events = p.from_lines(batch)
+        events = events if identity is None else with_identity(events, identity)
         if not events.isEmpty():
             store.replace(enqueue(store.read(), events))
 
