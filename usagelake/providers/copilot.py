@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelake.functions import variants as v
+from usagelake.functions.binding import let
 from usagelake.functions.details import split_details
+from usagelake.functions.evidence import CHANGED, READ, told, weighed
 from usagelake.functions.ids import COUNTERS, stable_id
-from usagelake.functions.paths import project_from_cwd
-from usagelake.functions.text import first_non_empty
+from usagelake.functions.paths import project_from_cwd, resolve_path
+from usagelake.functions.text import UNKNOWN, first_non_empty, sorted_distinct
 from usagelake.functions.times import from_parts, parse_timestamp, rfc3339_nano
 from usagelake.functions.tokens import apply_total, bucket_sum, counter, usage
 from usagelake.operators.dedupe import first_wins, survivor
+from usagelake.operators.files import dominant_language, with_language
 from usagelake.operators.precedence import suppress_lower, without_twins
-from usagelake.operators.sequence import as_of
+from usagelake.operators.sequence import as_of, carried
 from usagelake.providers.base import Provider, existing, finished, line_source, register_provider
 from usagelake.providers.simple import identity
 from usagelake.sources.lines import read_lines
@@ -44,20 +47,104 @@ def store_events(spark: SparkSession, dbs: list[str], contexts: DataFrame) -> Da
     rows = rows.join(sessions, ["path", "session_id"], "left").join(contexts, "session_id", "left")
     cwd, branch = first_non_empty(F.coalesce("cwd", F.lit("")), F.coalesce("ctx_root", F.lit("")), F.coalesce("ctx_cwd", F.lit(""))), first_non_empty(F.coalesce("branch", F.lit("")), F.coalesce("ctx_branch", F.lit("")))
     project = project_from_cwd(cwd)
-    rows = rows.withColumns({"source_file": F.col("path"), "branch": branch, **identity("copilot", first_non_empty(project["project"], F.lit("copilot")), project["project_path"], F.col("session_id"), F.coalesce("model", F.lit("")), "GitHub Copilot")})
+    rows = rows.withColumns({"source_file": F.col("path"), "branch": branch, **identity("copilot", first_non_empty(project["project"], F.lit(UNKNOWN)), project["project_path"], F.col("session_id"), F.coalesce("model", F.lit("")), "GitHub Copilot CLI")})
     return finished(rows, id_column=stable_id(F.lit("copilot"), F.lit("store"), F.col("session_id"), F.col("id"), rfc3339_nano(F.col("timestamp"))))
 
 
-def transcripts(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Context of each session, and file changes told by completed tools."""
-    j = F.col("v")
-    rows = line_source(read_lines(spark, paths, r"/session-state/[^/]+/events\.jsonl$")).withColumn("v", v.parsed(F.col("value"))).where("v is not null").withColumn("session_id", F.regexp_extract("source_file", r"/session-state/([^/]+)/", 1))
-    start = rows.where(v.text(j, "$.type") == "session.start").select("session_id", "source_start", v.text(j, "$.data.context.cwd").alias("ctx_cwd"), v.text(j, "$.data.context.gitRoot").alias("ctx_root"), v.text(j, "$.data.context.branch").alias("ctx_branch"))
-    done = rows.where((v.text(j, "$.type") == "tool.execution_complete") & F.coalesce(F.try_variant_get(j, "$.data.success", "boolean"), F.lit(True)))
-    told = "$.data.toolTelemetry."
-    listed = lambda p: F.coalesce(F.try_variant_get(j, told + p, "array<string>"), F.from_json(F.try_variant_get(j, told + p, "string"), "array<string>"), F.array().cast("array<string>"))
-    changes = done.select("session_id", F.col("source_start").alias("at"), v.time(j, "$.timestamp").alias("when"), F.explode(listed("restrictedProperties.filePaths")).alias("path"), v.count(j, told + "metrics.linesAdded").alias("lines_added"), v.count(j, told + "metrics.linesRemoved").alias("lines_removed"))
-    return first_wins(start, ["session_id"], ["source_start"]).drop("source_start"), changes.where(~F.col("path").contains(".copilot/session-state/") & F.col("when").isNotNull())
+#: Tools that write files, whatever their telemetry says.
+WRITERS = ("write", "edit", "apply_patch", "str_replace_editor", "create")
+FACT = ["session_id", "when", "at", "n", "path", "weight", "is_change", "lines_added", "lines_removed"]
+
+
+def strings(at: Column, path: str) -> Column:
+    """The texts of an array, or of a string that holds an array as JSON."""
+    return F.filter(F.transform(listed(at, path), lambda x: v.text(x, "$")), lambda x: x != "")
+
+
+def listed(at: Column, path: str) -> Column:
+    inner = F.when(v.kind(at, path) == "STRING", F.try_parse_json(F.try_variant_get(at, path, "string")))
+    return F.coalesce(F.try_variant_get(at, path, "array<variant>"), F.try_variant_get(inner, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def given(at: Column, path: str) -> Column:
+    """Whether an object has a value there that isn't null."""
+    return F.coalesce(v.kind(at, path) != "VOID", F.lit(False))
+
+
+def file_changes(cwd: Column, telemetry: Column) -> Column:
+    """The files that a completed tool tells of, in the order of their names, with their lines where they can be told apart."""
+    count = lambda x, c, at="$": v.count(x, f"{at}.{c}")
+    named = strings(telemetry, "$.restrictedProperties.filePaths")
+    added_or_gone = F.concat(strings(telemetry, "$.restrictedProperties.addedPaths"), strings(telemetry, "$.restrictedProperties.deletedPaths"))
+    paths = sorted_distinct(F.when(F.size(named) > 0, named).otherwise(added_or_gone))
+    measured = given(telemetry, "$.metrics.linesAdded") | given(telemetry, "$.metrics.linesRemoved")
+
+    def changes(s: Column) -> Column:
+        own = lambda i, c: F.when(F.size(s["blocks"]) == F.size(s["paths"]), count(F.get(s["blocks"], i), c)).when((F.size(s["paths"]) == 1) & measured, count(telemetry, c, "$.metrics")).otherwise(F.lit(0)).cast("long")
+        return F.transform(s["paths"], lambda p, i: F.struct(p.alias("path"), own(i, "linesAdded").alias("lines_added"), own(i, "linesRemoved").alias("lines_removed")))
+
+    return resolved(cwd, let(F.struct(paths.alias("paths"), listed(telemetry, "$.properties.codeBlocks").alias("blocks")), changes))
+
+
+def resolved(cwd: Column, changes: Column) -> Column:
+    """Changes with their paths seen from cwd, less those of the program's own bookkeeping."""
+    kept = F.filter(changes, lambda c: ~c["path"].contains(".copilot/session-state/"))
+    return F.transform(kept, lambda c: F.struct(resolve_path(cwd, c["path"]).alias("path"), c["lines_added"].alias("lines_added"), c["lines_removed"].alias("lines_removed")))
+
+
+def transcripts(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of each session: its context; facts, which are file changes and paths that tell a language, with their time and weight; and the files its end
+    names. A tool's completion is paired with the latest start of its call id before it, which may be all that names the tool."""
+    j, order = F.col("v"), ["source_start"]
+    rows = line_source(read_lines(spark, paths, r"/session-state/[^/]+/events\.jsonl$")).withColumn("v", v.parsed(F.col("value")))
+    rows = rows.where(v.kind(j, "$.data").startswith("OBJECT")).withColumns({"session_id": F.regexp_extract("source_file", r"/session-state/([^/]+)/", 1), "kind": v.text(j, "$.type")})
+    rows = rows.where(F.col("kind").isin("session.start", "tool.execution_start", "tool.execution_complete", "session.shutdown"))
+    said = lambda c: F.when(F.col("kind") == "session.start", v.text(j, f"$.data.context.{c}")).otherwise("")
+    rows = rows.withColumns({"ctx_cwd": said("cwd"), "ctx_root": said("gitRoot"), "ctx_branch": said("branch"), "when": F.coalesce(v.time(j, "$.timestamp"), F.timestamp_seconds(F.lit(0))), "call": v.text(j, "$.data.toolCallId"), "tool": v.text(j, "$.data.toolName", "$.data.name")})
+    last = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col("source_start"))), F.lit("")).alias(c)
+    contexts = rows.where("kind = 'session.start'").groupBy("session_id").agg(*[last(c) for c in ("ctx_cwd", "ctx_root", "ctx_branch")])
+    rows = rows.withColumn("cwd", carried(F.col("ctx_cwd"), ["source_file"], order))
+    started = carried(F.when(F.col("kind") == "tool.execution_start", F.col("tool")).otherwise(""), ["source_file", "call"], order)
+    rows = rows.withColumn("tool", F.when((F.col("tool") == "") & (F.col("call") != ""), started).otherwise(F.col("tool")))
+    block = lambda p: F.when(v.kind(j, p).startswith("OBJECT"), F.try_variant_get(j, p, "variant"))
+    telemetry = F.coalesce(*[block(f"$.data.{p}") for p in ("toolTelemetry", "toolResultTelemetry", "result.toolTelemetry")])
+    failed = F.coalesce((v.kind(j, "$.data.success") == "BOOLEAN") & ~F.try_variant_get(j, "$.data.success", "boolean"), F.lit(False))
+    done = rows.where((F.col("kind") == "tool.execution_complete") & ~failed).withColumn("t", telemetry).where("t is not null")
+    t = F.col("t")
+    writes = F.col("tool").isin(*WRITERS) | given(t, "$.metrics.linesAdded") | given(t, "$.metrics.linesRemoved") | (F.size(strings(t, "$.restrictedProperties.addedPaths")) > 0) | (F.size(strings(t, "$.restrictedProperties.deletedPaths")) > 0)
+    base = ["session_id", "when", F.col("source_start").alias("at")]
+    changes = done.where(writes).select(*base, F.posexplode(file_changes(F.col("cwd"), t)).alias("n", "c"))
+    changes = changes.select("session_id", "when", "at", "n", "c.path", F.lit(CHANGED).alias("weight"), F.lit(True).alias("is_change"), "c.lines_added", "c.lines_removed")
+    read = F.concat(F.array(v.text(j, "$.data.arguments.path")), F.transform(v.array(j, "$.data.arguments.paths"), lambda x: v.text(x, "$")))
+    read = F.transform(F.filter(read, lambda p: p != ""), lambda p: resolve_path(F.col("cwd"), p))
+    heard = F.concat(weighed(read, READ), *[told(v.text(j, f"$.data.arguments.{c}")) for c in ("command", "pattern", "query")])
+    seen = rows.where("kind = 'tool.execution_start'").select(*base, F.posexplode(heard).alias("n", "e"))
+    seen = seen.select("session_id", "when", "at", "n", "e.path", "e.weight", F.lit(False).alias("is_change"), F.lit(0).cast("long").alias("lines_added"), F.lit(0).cast("long").alias("lines_removed"))
+    summed = "$.data.codeChanges"
+    files = strings(j, f"{summed}.filesModified")
+    alone = lambda c: F.when(F.size(files) == 1, v.count(j, f"{summed}.{c}")).otherwise(F.lit(0).cast("long"))
+    ends = F.transform(files, lambda p: F.struct(p.alias("path"), alone("linesAdded").alias("lines_added"), alone("linesRemoved").alias("lines_removed")))
+    ended = rows.where("kind = 'session.shutdown'").select(*base, F.posexplode(resolved(F.col("cwd"), ends)).alias("n", "c")).select("session_id", "at", "n", "c.*")
+    # A file counts at the end only if no tool told of it.
+    ended = ended.join(changes.select("session_id", "path").distinct(), ["session_id", "path"], "left_anti")
+    return contexts, changes.unionByName(seen).select(*FACT), ended
+
+
+def with_facts(store: DataFrame, facts: DataFrame, ended: DataFrame) -> DataFrame:
+    """Store events with file changes and languages: a fact goes to the last event of its session at or before it, else to the first; what
+    the session's end names to the last. An event without a known language takes the session's."""
+    calls = store.select("session_id", "timestamp", F.col("id").alias("target")).withColumn("tie", F.col("target"))
+    placed = as_of(facts, calls, ["session_id"], "when", "timestamp", "target", "tie", "event").where("event is not null")
+    latest = store.groupBy("session_id").agg(F.max_by("id", F.struct("timestamp", "id")).alias("event"))
+    changes = placed.where("is_change").select("event", F.lit(0).alias("late"), "at", "n", "path", "lines_added", "lines_removed")
+    changes = changes.unionByName(ended.join(latest, "session_id").select("event", F.lit(1).alias("late"), "at", "n", "path", "lines_added", "lines_removed"))
+    from usagelake.providers.stateful import with_changes
+
+    store = with_changes(store, changes.withColumnRenamed("event", "id"), ["id"], ["late", "at", "n"], "last")
+    store = with_language(store, placed.select(F.col("event").alias("id"), "path", "weight"), ["id"])
+    whole = dominant_language(facts, ["session_id"]).withColumnRenamed("language", "session_language")
+    store = store.join(whole, "session_id", "left")
+    return store.withColumn("language", F.when(F.col("language") == UNKNOWN, F.coalesce("session_language", F.lit(UNKNOWN))).otherwise(F.col("language"))).drop("session_language")
 
 
 def trace_events(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -86,13 +173,8 @@ def trace_events(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def load_copilot(spark: SparkSession, paths: list[str]) -> DataFrame:
-    contexts, changes = transcripts(spark, paths)
-    store = store_events(spark, existing(paths, "session-store.db"), contexts)
-    # Evidence of file changes goes to the last call before it in its session, else to the first.
-    placed = as_of(changes, store.select("session_id", "timestamp", F.col("id").alias("target")).withColumn("tie", F.col("target")), ["session_id"], "when", "timestamp", "target", "tie", "event").where("event is not null")
-    from usagelake.providers.stateful import with_changes
-
-    store = with_changes(store, placed.drop("id").withColumnRenamed("event", "id"), ["id"], ["when", "at", "path"], "last")
+    contexts, facts, ended = transcripts(spark, paths)
+    store = with_facts(store_events(spark, existing(paths, "session-store.db"), contexts), facts, ended)
     from usagelake.schema import as_events
 
     store = as_events(store)
