@@ -48,11 +48,38 @@ def test_stages_take_effect(spark, tmp_path):
     assert total.count() == sizes["shard"]
 
 
+def test_stages_take_odd_rows_and_columns(spark):
+    import corpus_pipeline as p
+
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [
+        (1, words("a", 40), "en", "s", 1), (2, words("a", 40), "en", "s", 1), (3, None, None, None, None), (4, "", "en", "s", 0), (None, words("b", 30), "en", None, 2), (None, words("c", 30), "de", "t", 2),
+        (5, words("d", 30), "de", "t", 2), (5, words("d", 30), "de", "t", 2), (6, words("e", 60_000), "fr", "t", 3), (7, " ", "fr", "", 3),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clashing = ["_kept_id", "_toxicity", "_place", "_cell", "_row_before", "_cell_sum", "_cell_before", "row", "cell", "place", "h1", "vid", "component_id", "kept", "_turns", "_turn", "at", "slots", "source_key", "size_", "Score"]
+    docs = docs.select("*", *[F.concat(F.lit(c), F.coalesce("doc_id", F.lit(0))).alias(c) for c in clashing])
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        after = out.collect()
+        assert [c for c in out.columns if c in docs.columns] == docs.columns, name
+        assert all(r[c] == f"{c}{r.doc_id or 0}" for r in after for c in clashing), name
+        found = Counter((r.doc_id, r.text) for r in after)
+        wanted = Counter((r[0], r[1]) for r in rows)
+        if name == "near_dedup":
+            assert found == wanted - Counter([(2, rows[1][1])])
+        elif name == "mix":
+            assert set(found) <= set(wanted) and {(3, None), (4, ""), (7, " ")} <= set(found) and max(found.values()) <= 4
+        else:
+            assert found == wanted, name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_all_queries_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == ["op1_toxicity", "op2_quality", "op3_suffix_dedup", "op4_line_dedup", "op5_near_dedup", "op6_decontaminate", "op7_mixing", "op8_html", "op9_sharding", "op10_vector_topk"]
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == ["op1_toxicity", "op2_quality", "op3_suffix_dedup", "op4_line_dedup", "op5_near_dedup", "op6_decontaminate", "op7_mixing", "op8_html", "op9_sharding", "op10_vector_topk", "op11_resample", "op12_bpe", "op13_merkle"]
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
 
@@ -62,7 +89,7 @@ def test_queries_with_sql_equal_it(spark):
     from usagelake.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, SF)

@@ -285,7 +285,6 @@ class Vocabulary:
         """The text of packed ids."""
         return self._decode(F.coalesce(packed, F.lit(b"")))
 
-
     def round_trip(self, text: Column) -> Column:
         """struct(ids, text): the packed ids of a text and what they decode to, both by the same worker."""
         return self._both(F.coalesce(text, F.lit("")))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.llm.common import without
+from usagelake.llm.common import fresh, without
 
 # Element names as the HTML standard groups them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -302,5 +302,6 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
         for part in parts:
             yield part.map(main_text, na_action=None).astype(object)
 
-    out = kept.withColumn("_text", texts(F.coalesce(F.col(f"`{html}`"), F.lit(""))))
-    return without(out, html).withColumnRenamed("_text", "text").withColumn("n_chars", F.char_length("text").cast("long"))
+    name = fresh(kept, "_text")
+    out = kept.withColumn(name, texts(F.coalesce(F.col(f"`{html}`"), F.lit(""))))
+    return without(out, html).withColumnRenamed(name, "text").withColumn("n_chars", F.char_length("text").cast("long"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from usagelake.llm.common import prefiltered, without, written
+from usagelake.llm.common import prefiltered, written
 from usagelake.llm.graph import connected_components
 
 DEPTH = 4
@@ -323,4 +323,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, one document of each component: that with the least id."""
     kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return without(docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi"), "_kept_id")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

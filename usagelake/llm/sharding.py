@@ -50,5 +50,7 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", weig
     rows = without(docs, *(c for c in ADDED if c not in (key, text)))
     rows = rows.withColumn("size", F.octet_length(body).cast("long") + 1).withColumn("text_crc32", F.crc32(body)).withColumn("law", F.lit("key"))
     rows = rows.withColumn("shard", rendezvous(key_text(key), weights, seed)).withColumn("grown_shard", rendezvous(key_text(key), [*weights, grown_weight], seed))
-    rows = rows.withColumn("_place", F.md5(F.concat_ws(":", F.lit(seed), key_text(key), F.col("text_crc32"), F.col("size")).cast("binary"))).withColumn("_cell", hex_cell(F.col("_place")))
-    return before(rows, ["shard"], "_cell", ["_place"], F.lit(1).cast("long"), "slot").drop("_place", "_cell")
+    place = F.md5(F.concat_ws(":", F.lit(seed), key_text(key), F.col("text_crc32"), F.col("size")).cast("binary"))
+    # The row travels as one column, so its names can't clash with those of the numbering.
+    placed = rows.select(F.struct("*").alias("row"), "shard", place.alias("place")).withColumn("cell", hex_cell(F.col("place")))
+    return before(placed, ["shard"], "cell", ["place"], F.lit(1).cast("long"), "slot").select("row.*", "slot")

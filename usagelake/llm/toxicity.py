@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.llm.common import without
+from usagelake.llm.common import fresh, without
 from usagelake.llm.labelled import remainder, sampled_ids
 
 WINDOW, STRIDE = 32, 16
@@ -441,4 +441,5 @@ def score_toxicity(docs: DataFrame, net: Network, threshold: float = 0.7, modulu
 
 def without_toxic(docs: DataFrame, net: Network, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of docs whose score is under the threshold."""
-    return without(docs.withColumn("_toxicity", score_udf(net)(F.col(f"`{text}`"))).where(F.col("_toxicity") < threshold), "_toxicity")
+    score = fresh(docs, "_toxicity")
+    return docs.withColumn(score, score_udf(net)(F.col(f"`{text}`"))).where(F.col(score) < threshold).drop(score)
