@@ -11,7 +11,7 @@ from usagelake.plans.export import directory_transport, drain, enqueue, queue_ro
 from usagelake.plans.store import GenerationStore
 from usagelake.sources.lines import split_lines
 from usagelake.sources.tail import TailReader, last_line_end
-from usagelake.streaming.ingest import ingest
+from usagelake.streaming.ingest import catch_up, ingest
 
 
 def line(n):
@@ -46,6 +46,85 @@ def test_offsets_stop_before_a_partial_line_and_restart_on_truncation(tmp_path):
     assert [x for p in reader.partitions(third, third) for x in reader.read(p)] == []
 
 
+def batches_of(reader, start=None):
+    """The spans of each batch until nothing is new, with the lines read."""
+    start = {} if start is None else start
+    while True:
+        end = reader.latestOffset()
+        spans = [p for p in reader.partitions(start, end) if p.path]
+        if not spans:
+            return
+        yield end, spans, [(x[0], x[4], x[6], x[7]) for p in spans for x in reader.read(p)]
+        start = end
+
+
+@pytest.mark.parametrize("budget", [1, 7, 30, 64, 1000])
+def test_bounded_batches_read_what_one_batch_reads(tmp_path, budget):
+    long = b"y" * 90
+    bodies = {"a.jsonl": b"one\n\ntwo\r\n" + long + b"\nend\npart", "b.jsonl": b"\n".join(b"%d" % (7**i) for i in range(20)) + b"\n", "c.jsonl": b"", "d.jsonl": b"only part"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    [(_, _, whole)] = batches_of(TailReader({"path": str(tmp_path)}))
+    found = []
+    for _, spans, rows in batches_of(TailReader({"path": str(tmp_path), "max_bytes": str(budget)})):
+        size = sum(p.stop - p.start for p in spans)
+        assert size <= budget or len(rows) == 1
+        found += rows
+    assert sorted(found) == sorted(whole) and len(set(found)) == len(found)
+
+
+def test_a_busy_file_keeps_no_other_waiting_and_a_restart_goes_on(tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b"xxx\n" * 100)
+    (tmp_path / "b.jsonl").write_bytes(b"yyy\n" * 3)
+    options = {"path": str(tmp_path), "max_bytes": "8"}
+    turns = [{r[2] for r in rows} for _, _, rows in batches_of(TailReader(options))]
+    assert turns[:4] == [{"xxx"}, {"yyy"}, {"xxx"}, {"yyy", "xxx"}]
+    first = TailReader(options)
+    done, seen = {}, []
+    for end, _, rows in batches_of(first):
+        done, seen = end, seen + rows
+        if len(seen) > 20:
+            break
+    again = TailReader(options)
+    again.partitions(done, done)  # how Spark tells a new reader where the last one was
+    for _, _, rows in batches_of(again, done):
+        seen += rows
+    assert len(seen) == len(set(seen)) == 103
+
+
+class Breaking:
+    """A store that fails at one of its changes."""
+
+    def __init__(self, store, at):
+        self.store, self.at, self.n, self.read = store, at, 0, store.read
+
+    def replace(self, queue):
+        self.n += 1
+        if self.n == self.at:
+            raise OSError("the store is away")
+        self.store.replace(queue)
+
+
+def test_bounded_ingest_stopped_in_the_middle_equals_batch(spark, tmp_path):
+    logs = tmp_path / "sessions" / "demo"
+    logs.mkdir(parents=True)
+    for name in "ab":
+        (logs / f"agent_{name}.jsonl").write_text("".join(line(n + 10 * (name == "b")) + "\n" for n in range(1, 7)))
+    store, size = GenerationStore(spark, str(tmp_path / "queue")), len(line(1)) + 1
+    paths, checkpoint = [str(tmp_path / "sessions")], str(tmp_path / "checkpoint")
+    with pytest.raises(Exception, match="the store is away"):
+        catch_up(spark, "pi", paths, Breaking(store, 3), checkpoint, 2 * size + 5, None)
+    assert store.read().count() == 4
+    told = catch_up(spark, "pi", paths, store, checkpoint, 2 * size + 5, None)
+    taken = [sum(e[1] for e in p["sources"][0]["endOffset"].values()) - sum(e[1] for e in (p["sources"][0]["startOffset"] or {}).values()) for p in told]
+    assert max(taken) <= 2 * size + 5 and sum(taken) >= 8 * size and len([n for n in taken if n]) >= 4
+    assert {r.id for r in store.read().collect()} == {r.id for r in load_usage(spark, "pi", paths).collect()}
+    with open(logs / "agent_a.jsonl", "a") as f:
+        f.write(line(30) + "\n")
+    ingest(spark, "pi", paths, store, checkpoint, identity=None).awaitTermination()
+    assert store.read().count() == 13
+
+
 def test_stream_ingest_equals_batch_and_drains_once(spark, tmp_path):
     logs = tmp_path / "sessions" / "demo"
     logs.mkdir(parents=True)

@@ -14,17 +14,23 @@ from usagelake.providers.base import REGISTRY
 from usagelake.sources.tail import TailSource
 
 
-def tailed_lines(spark: SparkSession, paths: list[str], *needed: str) -> DataFrame:
+#: What a micro-batch of a query that keeps running takes at most.
+BATCH_BYTES = 256 << 20
+
+
+def tailed_lines(spark: SparkSession, paths: list[str], *needed: str, batch_bytes: int = 0) -> DataFrame:
     spark.dataSource.register(TailSource)
-    rows = spark.readStream.format("jsonl_tail").options(path=",".join(paths), needed=json.dumps(list(needed))).load()
+    rows = spark.readStream.format("jsonl_tail").options(path=",".join(paths), needed=json.dumps(list(needed)), max_bytes=str(batch_bytes)).load()
     return rows.select("path", F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000)).alias("mtime"), "line", "start", "stop", "value")
 
 
-def ingest(spark: SparkSession, provider: str, paths: list[str], store, checkpoint: str, once: bool = True, every: str = "5 minutes", identity: str | DataFrame | None = IDENTITY_FILE) -> StreamingQuery:
+def ingest(spark: SparkSession, provider: str, paths: list[str], store, checkpoint: str, once: bool = True, every: str = "5 minutes", identity: str | DataFrame | None = IDENTITY_FILE, batch_bytes: int | None = None) -> StreamingQuery:
     """A query that puts a provider's new events into the queue of a store.
 
     Each batch is inserted before its offsets are committed, and ids make a repeated batch harmless. A batch is
     parsed by itself: a patch at its start belongs to the first usage row of the batch. Identity files name projects.
+    A query that runs once takes all there is in one batch, unless batch_bytes bounds it, when the rest is left to the next run; one that
+    keeps running takes batch_bytes at a time, BATCH_BYTES if not given, and all at once for 0.
     """
     p = REGISTRY[provider]
     if p.from_lines is None:
@@ -36,6 +42,16 @@ def ingest(spark: SparkSession, provider: str, paths: list[str], store, checkpoi
         if not events.isEmpty():
             store.replace(enqueue(store.read(), events))
 
-    lines = tailed_lines(spark, paths, *p.needed)
+    lines = tailed_lines(spark, paths, *p.needed, batch_bytes=(0 if once else BATCH_BYTES) if batch_bytes is None else batch_bytes)
     writer = lines.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def catch_up(spark: SparkSession, provider: str, paths: list[str], store, checkpoint: str, batch_bytes: int = BATCH_BYTES, identity: str | DataFrame | None = IDENTITY_FILE) -> list[dict]:
+    """Takes all that is there in batches of at most batch_bytes; the progress of each. A run that ends early is continued by the next."""
+    query = ingest(spark, provider, paths, store, checkpoint, False, "0 seconds", identity, batch_bytes)
+    try:
+        query.processAllAvailable()
+        return [json.loads(p.json) for p in query.recentProgress]
+    finally:
+        query.stop()
