@@ -41,7 +41,8 @@ def claimable(queue: DataFrame, now: int, limit: int = 0) -> DataFrame:
 
 
 def _marked(queue: DataFrame, ids: DataFrame, guard: Column, **values: Column) -> DataFrame:
-    named = ids.select("id").where(F.coalesce(F.col("id"), F.lit("")) != "").distinct().withColumn("_hit", F.lit(True))
+    said = F.max("reason" if "reason" in ids.columns else F.lit(None).cast("string"))
+    named = ids.where(F.coalesce(F.col("id"), F.lit("")) != "").groupBy("id").agg(said.alias("_said")).withColumn("_hit", F.lit(True))
     hit = F.coalesce("_hit", F.lit(False)) & guard
     return queue.join(named, "id", "left").withColumns({c: F.when(hit, v.cast(queue.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}).select(*queue.columns)
 
@@ -63,7 +64,8 @@ def mark_uploaded(queue: DataFrame, ids: DataFrame, now: int) -> DataFrame:
 
 
 def mark_rejected(queue: DataFrame, ids: DataFrame, reason: str = "") -> DataFrame:
-    return _marked(queue, ids, F.lit(True), status=F.lit("rejected"), last_error=F.lit(reason))
+    """Each with its own reason, if ids have any."""
+    return _marked(queue, ids, F.lit(True), status=F.lit("rejected"), last_error=F.coalesce(F.nullif("_said", F.lit("")), F.lit(reason)))
 
 
 def mark_failed(queue: DataFrame, ids: DataFrame, now: int, error: str = "") -> DataFrame:

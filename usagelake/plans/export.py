@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,12 @@ from usagelake.functions.times import rfc3339_nano
 from usagelake.operators import queue as q
 from usagelake.operators.dedupe import insert_ignore
 from usagelake.operators.precedence import unacknowledged
+from usagelake.schema import USAGE_EVENT
+from usagelake.sources.upload import kept_replies, upload
+
+
+#: Spark's own format of times in JSON ends at milliseconds.
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def wire_events(events: DataFrame, zone: str) -> DataFrame:
@@ -31,7 +38,7 @@ def queue_rows(events: DataFrame) -> DataFrame:
     """Events as fresh rows of the queue."""
     named = events.withColumns({"project": normalize_project(F.col("project")), "language": normalize_language(F.col("language"))})
     zero = F.lit(0).cast("long")
-    return named.select("id", F.unix_seconds("timestamp").alias("ts"), F.to_json(F.struct("*")).alias("payload"), F.lit("pending").alias("status"), F.lit(0).alias("attempt_count"), zero.alias("next_attempt_at"), F.lit(None).cast("long").alias("uploaded_at"), F.lit("").alias("last_error"), zero.alias("lease_until"))
+    return named.select("id", F.unix_seconds("timestamp").alias("ts"), F.to_json(F.struct("*"), MICROS).alias("payload"), F.lit("pending").alias("status"), F.lit(0).alias("attempt_count"), zero.alias("next_attempt_at"), F.lit(None).cast("long").alias("uploaded_at"), F.lit("").alias("last_error"), zero.alias("lease_until"))
 
 
 def enqueue(queue: DataFrame, events: DataFrame) -> DataFrame:
@@ -48,11 +55,42 @@ def directory_transport(path: str) -> Callable[[DataFrame], DataFrame]:
     return send
 
 
+class PartlySent(Exception):
+    """Sending ended early; reply holds the verdicts that came before (id, verdict, reason)."""
+
+    def __init__(self, reply: DataFrame, cause: Exception) -> None:
+        super().__init__(str(cause))
+        self.reply = reply
+
+
+def http_transport(url: str, replies: str, zone: str, tasks: int | None = None, **options: str) -> Callable[[DataFrame], DataFrame]:
+    """A sink that posts claimed rows of the queue in gzipped batches from the executors. Each call keeps its replies in a
+    folder of its own under replies; options as of sources.upload.upload."""
+
+    def send(claimed: DataFrame) -> DataFrame:
+        spark = claimed.sparkSession
+        folder = f"{replies.rstrip('/')}/{uuid.uuid4().hex}"
+        events = claimed.select(F.from_json("payload", USAGE_EVENT).alias("e")).select("e.*")
+        try:
+            upload(spark, wire_events(events, zone), url, folder, tasks=tasks, **options)
+        except Exception as e:
+            raise PartlySent(kept_replies(spark, folder), e) from e
+        return kept_replies(spark, folder)
+
+    return send
+
+
+def marked(queue: DataFrame, reply: DataFrame, now: int) -> DataFrame:
+    """The queue with a reply's verdicts; a rejected row keeps the reason if one was given."""
+    done, refused = reply.where("verdict in ('accepted', 'duplicate')"), reply.where("verdict = 'rejected'")
+    return q.mark_rejected(q.mark_uploaded(queue, done, now), refused)
+
+
 def drain(store, now: Callable[[], int], send: Callable[[DataFrame], DataFrame], batch: int = q.BATCH) -> int:
     """Prunes, then claims, sends and marks batches until none is left; returns the batches sent.
 
-    store keeps the queue table (read, replace). If sending fails the batch is marked failed and the loop ends; rows
-    that the reply leaves out are given back and end it, too.
+    store keeps the queue table (read, replace). If sending fails the batch is marked failed, but for rows that got their verdict before, and
+    the loop ends; rows that the reply leaves out are given back and end it, too.
     """
     store.replace(q.prune(store.read(), now()))
     sent = 0
@@ -65,11 +103,14 @@ def drain(store, now: Callable[[], int], send: Callable[[DataFrame], DataFrame],
         try:
             reply = store.keep(send(claimed))
         except Exception as e:
-            store.replace(q.mark_failed(store.read(), claimed, now(), str(e)[:4096]))
+            queue = store.read()
+            if isinstance(e, PartlySent):
+                reply = store.keep(e.reply)
+                queue, claimed = marked(queue, reply, now()), unacknowledged(claimed, reply)
+            store.replace(q.mark_failed(queue, claimed, now(), str(e)[:4096]))
             raise
-        done, refused = reply.where("verdict in ('accepted', 'duplicate')"), reply.where("verdict = 'rejected'")
         left = store.keep(unacknowledged(claimed, reply))
-        store.replace(q.release(q.mark_rejected(q.mark_uploaded(store.read(), done, now()), refused), left))
+        store.replace(q.release(marked(store.read(), reply, now()), left))
         sent += 1
         if not left.isEmpty():
             raise RuntimeError("the reply leaves out events of the batch")
