@@ -581,6 +581,17 @@ def test_names_of_parts_of_the_article(name, cut):
     assert main_text(page) == "\n\n".join(["Head", "Text of it, of some length.", *["A paragraph in a section."] * (not cut), "Last one."])
 
 
+@pytest.mark.parametrize("name", ["id=skip", "class=social", "class='social widget'", "id=related", "class=share", "class=reply"])
+def test_names_that_sections_of_an_article_have_too(name):
+    article = "<article><h1>Head</h1><p>Text of it, of some length.</p>{}<p>Last one.</p></article>"
+    told = f"<section {name}><h2>Skipping</h2><p>A paragraph with <a href=x>a link</a> in a section.</p></section>"
+    assert main_text(PAGE.format(main=article.format(told))) == "Head\n\nText of it, of some length.\n\nSkipping\n\nA paragraph with a link in a section.\n\nLast one."
+    nested = f"<section {name}><div class=skip><p>An inner paragraph.</p></div><div class=share><a href=x>Send</a></div></section>"
+    assert main_text(PAGE.format(main=article.format(nested))) == "Head\n\nText of it, of some length.\n\nAn inner paragraph.\n\nLast one."
+    for links in ("<a href=x>Send</a> <a href=y>Post</a>", "<p><a href=x>Send to a friend</a> or <a href=y>post it</a></p>", "<button>Like</button>"):
+        assert main_text(PAGE.format(main=article.format(f"<div {name}>{links}</div>"))) == "Head\n\nText of it, of some length.\n\nLast one."
+
+
 def test_hidden_elements_stay_cut():
     assert main_text(PAGE.format(main="<article><p>Text of it.</p><div hidden>x</div><div aria-hidden=true>y</div><p role='alert'>z</p><p class='ad-slot'>q</p></article>")) == "Text of it."
 

@@ -2,7 +2,8 @@
 
 Each page becomes a tree. Elements that never hold article text (scripts, styles, forms, navigation,
 page headers and footers, asides, and elements whose role, class or id names an advert, menu, sidebar,
-notice or comment list) are cut off first; one cut off by class or id alone comes back if it holds the densest
+notice or comment list) are cut off first, those whose name articles use for sections, too, only if they have no paragraph or are
+mostly links; one cut off by class or id alone comes back if it holds the densest
 part of the page and its heading. Every remaining element gets its composite density: its
 characters per tag, adjusted by how much of both lies in links. The element whose children's densities
 have the greatest sum is the content; the least density on its path from body is the threshold that
@@ -34,6 +35,8 @@ CLOSES_P = BLOCK - frozenset("body html tbody td tfoot th thead tr caption".spli
 NEVER_TEXT = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object svg canvas audio video dialog menu".split())
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NEVER_NAME = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner banners sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay comment comments commentlist disqus respond replies reply share sharing social newsletter subscribe signup login related recommended widget pagination pager toolbar skip hidden".split())
+#: Names that article sections have as well: alone, they cut off only what has no paragraph or is mostly links.
+DOUBTFUL = frozenset("hidden login recommended related reply respond share sharing signup skip social subscribe toolbar widget".split())
 LAYOUT = frozenset("has no with without".split())
 HOLDER = frozenset("area bar block body bottom box button buttons card cards center col column container content feed form group header heading icon icons inner item items label layer left links list module outer panel post posts right row section slot space stories strip text thread title tools top unit wrap wrapper zone".split())
 NAME_PART = re.compile(r"[A-Za-z0-9]+")
@@ -49,7 +52,7 @@ class Node:
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.named = ""  #: how class or id names what never holds text: "", "part" or "whole"
+        self.named = ""  #: how class or id names what never holds text: "", "part", "whole" or "doubtful"
 
 
 def is_never(tag: str, attributes: str, in_article: bool) -> bool:
@@ -67,7 +70,7 @@ def is_never(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def name_of(tag: str, attributes: str) -> str:
-    """Whether class or id holds a name of NEVER_NAME as a "whole" name, as a "part" of one, or not ("").
+    """Whether class or id holds a name of NEVER_NAME as a "whole" name, as a "part" of one, or not (""); "doubtful" if only one of DOUBTFUL.
 
     A name that says that its element has, or lacks, such a part ("has-sidebar") is none; nor is one in which something
     else than a holder follows ("related-work").
@@ -78,6 +81,9 @@ def name_of(tag: str, attributes: str) -> str:
     for name, *values in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id"):
             for word in "".join(values).lower().split():
+                if word in DOUBTFUL:
+                    found = found or "doubtful"
+                    continue
                 if word in NEVER_NAME:
                     return "whole"
                 parts = [x for x in NAME_PART.findall(word) if not x.isdigit()]
@@ -86,8 +92,30 @@ def name_of(tag: str, attributes: str) -> str:
     return found
 
 
+def put_back_readable(root: Node) -> None:
+    """Puts doubtful elements back that have a paragraph and text that mostly isn't linked, inner ones first."""
+    stack, order = [root], []
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.children if isinstance(x, Node) and (not x.never or x.named == "doubtful")]
+    told: dict[int, tuple[int, int, bool]] = {}
+    for node in order[::-1]:
+        chars, linked, paragraph = 0, 0, node.tag == "p"
+        for x in node.children:
+            if isinstance(x, str):
+                chars += len("".join(x.split()))
+            elif not x.never:
+                n, in_links, has = told[id(x)]
+                chars, linked, paragraph = chars + n, linked + in_links, paragraph or has
+        told[id(node)] = chars, chars if node.tag == "a" else linked, paragraph
+        if node.named == "doubtful" and paragraph and 2 * linked < chars:
+            node.never, node.named = False, ""
+
+
 def parse(page: str) -> Node:
     root = here = Node("#root", None)
+    doubtful = False
     depth: dict[str, int] = {}
 
     def close_to(stop: Node) -> None:
@@ -146,6 +174,7 @@ def parse(page: str) -> Node:
         node = Node(tag, here, is_never(tag, attributes, bool(depth.get("article") or depth.get("main"))))
         if not node.never and (named := name_of(tag, attributes)):
             node.never, node.named = True, named
+            doubtful = doubtful or named == "doubtful"
         here.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -154,6 +183,8 @@ def parse(page: str) -> Node:
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
             here = node
             depth[tag] = depth.get(tag, 0) + 1
+    if doubtful:
+        put_back_readable(root)
     return root
 
 
