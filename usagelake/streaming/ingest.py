@@ -47,11 +47,32 @@ def ingest(spark: SparkSession, provider: str, paths: list[str], store, checkpoi
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def catch_up(spark: SparkSession, provider: str, paths: list[str], store, checkpoint: str, batch_bytes: int = BATCH_BYTES, identity: str | DataFrame | None = IDENTITY_FILE) -> list[dict]:
-    """Takes all that is there in batches of at most batch_bytes; the progress of each. A run that ends early is continued by the next."""
-    query = ingest(spark, provider, paths, store, checkpoint, False, "0 seconds", identity, batch_bytes)
+def caught_up(query: StreamingQuery) -> list[dict]:
+    """Waits until a query has taken all there is, and ends it; the progress of its latest batches."""
     try:
         query.processAllAvailable()
         return [json.loads(p.json) for p in query.recentProgress]
     finally:
         query.stop()
+
+
+def catch_up(spark: SparkSession, provider: str, paths: list[str], store, checkpoint: str, batch_bytes: int = BATCH_BYTES, identity: str | DataFrame | None = IDENTITY_FILE) -> list[dict]:
+    """Takes all that is there in batches of at most batch_bytes; the progress of each. A run that ends early is continued by the next."""
+    return caught_up(ingest(spark, provider, paths, store, checkpoint, False, "0 seconds", identity, batch_bytes))
+
+
+def tail_to_table(spark: SparkSession, provider: str, paths: list[str], out: str, checkpoint: str, batch_bytes: int = BATCH_BYTES) -> list[dict]:
+    """Appends a provider's new events to Parquet at out, in batches of at most batch_bytes, till all is taken; the progress of each.
+
+    Each batch has a folder of its own (column batch), which a batch that is run again writes anew. A last line that still grows may come
+    once more with a later batch, under another id if its text changed.
+    """
+    p = REGISTRY[provider]
+    if p.from_lines is None:
+        raise ValueError(f"{provider} can't be resumed")
+
+    def put(lines: DataFrame, number: int) -> None:
+        p.from_lines(lines).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    lines = tailed_lines(spark, paths, *p.needed, batch_bytes=batch_bytes)
+    return caught_up(lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start())
