@@ -43,10 +43,10 @@ def with_changes(rows: DataFrame, changes: DataFrame, keys: list[str], order: li
 NOT_NULL = r'"(id|cwd|model|speed|costUSD|version|sessionId|requestId|isApiErrorMessage|cache_read_input_tokens|cache_creation_input_tokens)":null'
 
 
-def claude_rows(lines: DataFrame) -> DataFrame:
-    """Usage rows with their patches; patches go to the usage row before them in the file, else to the first after."""
+def claude_kinds(lines: DataFrame) -> DataFrame:
+    """Usage rows (is_usage) and rows with a patch, with their record (v)."""
     j = F.col("v")
-    rows = line_source(lines).withColumn("v", v.parsed(F.col("value"))).where("v is not null")
+    rows = lines.withColumn("v", v.parsed(F.col("value"))).where("v is not null")
     use = F.col("value").contains('"usage":{') & ~F.col("value").rlike(NOT_NULL) & has("$.message.usage")
     absent = lambda p: F.try_variant_get(j, p, "variant").isNull()
     for p in ("$.sessionId", "$.requestId", "$.message.model"):
@@ -60,8 +60,19 @@ def claude_rows(lines: DataFrame) -> DataFrame:
     content = F.coalesce(F.try_variant_get(j, "$.toolUseResult.content", "string"), F.lit(""))
     patch = F.when(made, F.struct(file.alias("path"), count_lines(content).alias("lines_added"), F.lit(0).cast("long").alias("lines_removed"))).when(n_hunks > 0, F.struct(file.alias("path"), counts["lines_added"].alias("lines_added"), counts["lines_removed"].alias("lines_removed")))
     rows = rows.withColumn("is_usage", F.coalesce(use, F.lit(False))).withColumn("patch", F.when(F.col("value").contains('"structuredPatch"'), patch))
-    rows = rows.where("is_usage or patch is not null").withColumn("target", attributed_to(F.col("is_usage"), F.col("source_start"), ["source_file"], ["source_start"]))
-    model = v.text(j, "$.message.model")
+    return rows.where("is_usage or patch is not null")
+
+
+def claude_marked(lines: DataFrame) -> DataFrame:
+    return claude_kinds(lines).select(*lines.columns, F.lit(True).alias("needed"), F.col("is_usage").alias("opens"))
+
+
+def claude_rows(lines: DataFrame) -> DataFrame:
+    """Usage rows with their patches; patches go to the usage row before them in the file, else to the first after."""
+    j = F.col("v")
+    absent = lambda p: F.try_variant_get(j, p, "variant").isNull()
+    rows = claude_kinds(line_source(lines)).withColumn("target", attributed_to(F.col("is_usage"), F.col("source_start"), ["source_file"], ["source_start"]))
+    model, speed = v.text(j, "$.message.model"), v.text(j, "$.message.usage.speed")
     tokens = usage(*[v.count(j, f"$.message.usage.{c}") for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")])
     project = project_from_cwd(v.text(j, "$.cwd"))
     session = F.coalesce(F.nullif(F.regexp_extract("source_file", r"/projects/[^/]+/([^/]+)/[^/]+\.jsonl$", 1), F.lit("")), stem(F.col("source_file")))
@@ -76,7 +87,7 @@ def claude_rows(lines: DataFrame) -> DataFrame:
         **identity("claude", first_non_empty(project["project"], F.lit("Unknown")), project["project_path"], session, F.when(model == "<synthetic>", "").when(speed == "fast", F.concat(model, F.lit("-fast"))).otherwise(model), ""),
         "client": normalize_client(F.lit("claude"), v.text(j, "$.entrypoint")),
     })
-    changes = rows.where("patch is not null and target is not null").select("source_file", F.col("target").alias("source_start"), F.col("source_line").alias("at"), "patch.*")
+    changes = rows.where("patch is not null and target is not null").select("source_file", F.col("target").alias("source_start"), F.col("source_start").alias("at"), "patch.*")
     return with_changes(found, changes, ["source_file", "source_start"], ["at"], "touched")
 
 
@@ -96,7 +107,7 @@ def load_claude(spark: SparkSession, paths: list[str], dedupe: str = "best") ->
     return finished(rows, keep_zero=True, id_column=claude_id())
 
 
-register_provider(Provider("claude", load_claude, (), claude_lines, lambda project: lambda path: path.contains(f"/projects/{project}/")))
+register_provider(Provider("claude", load_claude, (), claude_lines, lambda project: lambda path: path.contains(f"/projects/{project}/"), claude_marked))
 
 
 # codex
