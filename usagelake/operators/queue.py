@@ -73,9 +73,13 @@ def mark_failed(queue: DataFrame, ids: DataFrame, now: int, error: str = "") ->
     return _marked(queue, ids, F.lit(True), status=F.lit("failed"), next_attempt_at=F.lit(now) + backoff_seconds(F.col("attempt_count")), attempt_count=F.col("attempt_count") + 1, last_error=F.lit(error), lease_until=F.lit(0))
 
 
+def is_over(now: int, retention: int = RETENTION) -> Column:
+    return (F.col("status") == "uploaded") & F.coalesce(F.col("uploaded_at") < now - retention, F.lit(False))
+
+
 def prune(queue: DataFrame, now: int, retention: int = RETENTION) -> DataFrame:
     """Without rows uploaded longer ago than the retention."""
-    return queue.where(~((F.col("status") == "uploaded") & F.coalesce(F.col("uploaded_at") < now - retention, F.lit(False))))
+    return queue.where(~is_over(now, retention))
 
 
 def rejection_reasons(rejects: DataFrame) -> DataFrame:

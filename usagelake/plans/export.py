@@ -15,6 +15,7 @@ from usagelake.functions.times import rfc3339_nano
 from usagelake.operators import queue as q
 from usagelake.operators.dedupe import insert_ignore
 from usagelake.operators.precedence import unacknowledged
+from usagelake.plans.log_store import Conflict
 from usagelake.schema import USAGE_EVENT
 from usagelake.sources.upload import kept_replies, upload
 
@@ -89,28 +90,33 @@ def marked(queue: DataFrame, reply: DataFrame, now: int) -> DataFrame:
 def drain(store, now: Callable[[], int], send: Callable[[DataFrame], DataFrame], batch: int = q.BATCH) -> int:
     """Prunes, then claims, sends and marks batches until none is left; returns the batches sent.
 
-    store keeps the queue table (read, replace). If sending fails the batch is marked failed, but for rows that got their verdict before, and
-    the loop ends; rows that the reply leaves out are given back and end it, too.
+    store keeps the queue (states, with_payload, put); what is written follows the rows that change. If sending fails the batch is marked failed, but
+    for rows that got their verdict before, and the loop ends; rows that the reply leaves out are given back and end it, too. Where another drain
+    claims at the same time, one of them claims again.
     """
-    store.replace(q.prune(store.read(), now()))
+    store.put(store.states().where(q.is_over(now())), gone=True)
     sent = 0
     while True:
-        claimed, after = q.claim(store.read(), now(), batch)
-        claimed = store.keep(claimed)
+        since = store.version()
+        claimed = store.keep(q.claim(store.states(), now(), batch)[0])
         if claimed.isEmpty():
             return sent
-        store.replace(after)
         try:
-            reply = store.keep(send(claimed))
+            store.put(claimed, since=since)
+        except Conflict:
+            continue
+        mine = lambda: store.states().join(claimed.select("id"), "id", "left_semi")  # noqa: B023, E731
+        try:
+            reply = store.keep(send(store.with_payload(claimed, narrow=True)))
         except Exception as e:
-            queue = store.read()
+            rows, failed = mine(), claimed
             if isinstance(e, PartlySent):
                 reply = store.keep(e.reply)
-                queue, claimed = marked(queue, reply, now()), unacknowledged(claimed, reply)
-            store.replace(q.mark_failed(queue, claimed, now(), str(e)[:4096]))
+                rows, failed = marked(rows, reply, now()), unacknowledged(claimed, reply)
+            store.put(q.mark_failed(rows, failed, now(), str(e)[:4096]))
             raise
         left = store.keep(unacknowledged(claimed, reply))
-        store.replace(q.release(marked(store.read(), reply, now()), left))
+        store.put(q.release(marked(mine(), reply, now()), left))
         sent += 1
         if not left.isEmpty():
             raise RuntimeError("the reply leaves out events of the batch")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from usagelake.operators.dedupe import insert_ignore
 from usagelake.schema import QUEUE
 
 
@@ -34,6 +35,25 @@ class GenerationStore:
         number = 0 if valid is None else int(self.spark.read.text(pointer).orderBy("value", ascending=False).first()[0].split(" ", 1)[0]) + 1
         self.spark.createDataFrame([(f"{number:020d} {path}",)], "value string").coalesce(1).write.mode("append").text(pointer)
 
+    def version(self) -> int | None:
+        return None
+
+    def states(self) -> DataFrame:
+        return self.read()
+
+    def with_payload(self, rows: DataFrame, narrow: bool = False) -> DataFrame:
+        return rows
+
+    def insert(self, rows: DataFrame) -> None:
+        """Rows whose id isn't there yet, the first of each."""
+        queue = self.read()
+        self.replace(queue.unionByName(insert_ignore(queue, rows, "id", ["ts"])))
+
+    def put(self, rows: DataFrame, gone: bool = False, since: int | None = None) -> None:
+        """New states of rows that are there, or their end."""
+        others = self.read().join(rows.select("id"), "id", "left_anti")
+        self.replace(others if gone else others.unionByName(rows))
+
     def keep(self, df: DataFrame) -> DataFrame:
         """df as a table of its own, so that it stays what it is when the queue changes."""
         path = f"{self.root}/kept-{uuid.uuid4().hex}"
