@@ -46,6 +46,14 @@ def enqueue(queue: DataFrame, events: DataFrame) -> DataFrame:
     return queue.unionByName(insert_ignore(queue, queue_rows(events), "id", ["ts"]))
 
 
+def add_events(store, events: DataFrame) -> None:
+    """Puts events into the queue of a store: what is new is inserted, where the store can, else the whole queue is replaced."""
+    if hasattr(store, "insert"):
+        store.insert(queue_rows(events))
+    else:
+        store.replace(enqueue(store.read(), events))
+
+
 def directory_transport(path: str) -> Callable[[DataFrame], DataFrame]:
     """A sink that writes batches as JSON lines and accepts all: id, verdict."""
 

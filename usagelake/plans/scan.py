@@ -17,6 +17,7 @@ from usagelake.api import load_usage
 from usagelake.operators.dedupe import insert_ignore
 from usagelake.operators.identity import IDENTITY_FILE
 from usagelake.plans.export import queue_rows
+from usagelake.plans.log_store import LogStore
 from usagelake.providers.base import REGISTRY
 
 
@@ -42,6 +43,9 @@ def insert_counted(store, events: DataFrame) -> Counts:
     """Puts events into the queue of a store."""
     parsed, inserted = Observation(), Observation()
     seen = queue_rows(events).observe(parsed, F.count(F.lit(1)).alias("n"))
+    if isinstance(store, LogStore):
+        n = store.insert(seen)
+        return Counts(parsed.get["n"], n)
     queue = store.read()
     fresh = insert_ignore(queue, seen, "id", ["ts"]).observe(inserted, F.count(F.lit(1)).alias("n"))
     store.replace(queue.unionByName(fresh))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from usagelake.operators.identity import IDENTITY_FILE, with_identity
-from usagelake.plans.export import enqueue
+from usagelake.plans.export import add_events
 from usagelake.providers.base import REGISTRY
 from usagelake.sources.tail import TailSource
 from usagelake.streaming.segments import held_lines, state_in_rocksdb, whole_segments
@@ -59,7 +59,7 @@ def ingest(spark: SparkSession, provider: str, paths: list[str], store, checkpoi
         events = p.from_lines(batch)
         events = events if identity is None else with_identity(events, identity)
         if not events.isEmpty():
-            store.replace(enqueue(store.read(), events))
+            add_events(store, events)
 
     lines = provider_lines(spark, provider, paths, (0 if once else BATCH_BYTES) if batch_bytes is None else batch_bytes, hold)
     writer = lines.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
