@@ -57,6 +57,16 @@ def local_date(ts: Column, zone: str) -> Column:
     return F.date_format(F.convert_timezone(F.current_timezone(), F.lit(zone), ts.cast("timestamp_ntz")), "yyyy-MM-dd")
 
 
+# Fixed value: what a line says of a limit, before a bar and the second at which it ends.
+LIMIT_REACHED = "Claude AI usage limit reached"
+
+
+def limit_reset(line: Column, is_error: Column) -> Column:
+    """When the limit that an error line tells of ends, null if it tells of none: digits right after the first bar that follows the first mention."""
+    told = F.regexp_extract(F.substring(line, F.locate(LIMIT_REACHED, line), F.length(line)), r"^[^|]*\|([0-9]+)", 1).try_cast("bigint")
+    return F.when(F.coalesce(is_error, F.lit(False)) & line.contains(LIMIT_REACHED) & told.between(1, 253402300799), F.timestamp_seconds(told))
+
+
 def backoff_seconds(attempts: Column) -> Column:
     """Delay after a failure, by the failures before it: 30 s doubling, an hour at most."""
     return F.least(F.call_function("shiftleft", F.lit(30).cast("long"), F.least(attempts, F.lit(7)).cast("int")), F.lit(3600).cast("long"))

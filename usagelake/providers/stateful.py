@@ -17,7 +17,7 @@ from usagelake.functions.language import language_of
 from usagelake.functions.patches import diff_counts, envelope_changes, hunk_counts
 from usagelake.functions.paths import base, clean, join, is_absolute, project_from_cwd, resolve_path
 from usagelake.functions.text import count_lines, first_non_empty, is_semver_prefix, normalize_client, normalize_language
-from usagelake.functions.times import rfc3339_nano
+from usagelake.functions.times import LIMIT_REACHED, limit_reset, rfc3339_nano
 from usagelake.functions.tokens import apply_total, bucket_sum, non_zero, usage
 from usagelake.operators.dedupe import first_wins, keep_best, last_wins
 from usagelake.operators.files import file_rollup, with_language
@@ -63,6 +63,14 @@ def claude_kinds(lines: DataFrame) -> DataFrame:
     return rows.where("is_usage or patch is not null")
 
 
+def claude_limits(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Usage rows that tell of a reached limit: source_file, source_start, timestamp, resets_at."""
+    j = F.col("v")
+    rows = claude_kinds(line_source(read_lines(spark, paths, r"/projects/.*\.[jJ][sS][oO][nN][lL]$", LIMIT_REACHED))).where("is_usage")
+    rows = rows.select("source_file", "source_start", v.time(j, "$.timestamp").alias("timestamp"), limit_reset(F.col("value"), F.try_variant_get(j, "$.isApiErrorMessage", "boolean")).alias("resets_at"))
+    return rows.where("resets_at is not null")
+
+
 def claude_marked(lines: DataFrame) -> DataFrame:
     return claude_kinds(lines).select(*lines.columns, F.lit(True).alias("needed"), F.col("is_usage").alias("opens"))
 
