@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.functions.binding import let
+from usagelake.functions.binding import let, settled
 from usagelake.functions.text import first_non_empty
 from usagelake.functions.times import parse_timestamp
 from usagelake.functions.tokens import counter, first_positive
@@ -13,7 +13,12 @@ from usagelake.functions.tokens import counter, first_positive
 
 def parsed(text: Column) -> Column:
     """The JSON object of a text as a variant; null for malformed text and for anything but an object."""
-    return let(F.try_parse_json(text), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+    return F.when(text.rlike(r"^[\s\x{FEFF}]*\{"), F.try_parse_json(text))
+
+
+def records(rows: DataFrame, text: str = "value") -> DataFrame:
+    """rows whose text holds a JSON object, with it as v; each text is parsed once."""
+    return settled(rows, "v", parsed(F.col(text))).where("v is not null")
 
 
 def kind(v: Column, path: str) -> Column:

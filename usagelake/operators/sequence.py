@@ -18,8 +18,14 @@ def before_here(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def all_of(keys: list[str], order: list[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def from_here(keys: list[str], order: list[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """The rows from the row on, last first. A frame that begins at the row and ends with the source is evaluated anew for
+    each row, so its cost would grow with the square of a source's rows."""
+    return Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def carried(value: Column, keys: list[str], order: list[str]) -> Column:
@@ -29,7 +35,7 @@ def carried(value: Column, keys: list[str], order: list[str]) -> Column:
 
 def final_value(value: Column, keys: list[str], order: list[str]) -> Column:
     """The latest non-empty value of the whole source."""
-    return F.coalesce(F.last(F.nullif(value, F.lit("")), ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(""))
+    return F.coalesce(F.last(F.nullif(value, F.lit("")), ignorenulls=True).over(all_of(keys, order)), F.lit(""))
 
 
 def counter_deltas(rows: DataFrame, keys: list[str], order: list[str], total: str, last: str, fields: list[str], out: str = "delta") -> DataFrame:
@@ -61,8 +67,12 @@ def growth(value: Column, keys: list[str], order: list[str]) -> Column:
 def attributed_to(is_target: Column, target: Column, keys: list[str], order: list[str], following_only: bool = False) -> Column:
     """The target row at or before the row, else the first after it; with following_only, the next one alone."""
     own = F.when(is_target, target)
-    after = F.first(own, ignorenulls=True).over(from_here(keys, order))
-    return after if following_only else F.coalesce(F.last(own, ignorenulls=True).over(up_to_here(keys, order)), after)
+    return F.last(own, ignorenulls=True).over(from_here(keys, order)) if following_only else latest_or_first(own, keys, order)
+
+
+def latest_or_first(value: Column, keys: list[str], order: list[str]) -> Column:
+    """The latest value at or before the row; before the first value, that one, which is then the first of all the source."""
+    return F.coalesce(F.last(value, ignorenulls=True).over(up_to_here(keys, order)), F.first(value, ignorenulls=True).over(all_of(keys, order)))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, tie: str, out: str) -> DataFrame:
@@ -73,5 +83,4 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     l = left.select(*keys, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.lit(None).cast(right.schema[value].dataType).alias("_value"), F.struct(*left.columns).alias("_row"))
     r = right.select(*keys, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.col(value).alias("_value"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"))
     order = ["_time", "_side", "_tie"]
-    found = F.coalesce(F.last("_value", ignorenulls=True).over(up_to_here(keys, order)), F.first("_value", ignorenulls=True).over(from_here(keys, order)))
-    return l.unionByName(r).withColumn(out, found).where("_side = 1").select("_row.*", out)
+    return l.unionByName(r).withColumn(out, latest_or_first(F.col("_value"), keys, order)).where("_side = 1").select("_row.*", out)

@@ -96,7 +96,7 @@ def transcripts(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
     """Of each session: its context; facts, which are file changes and paths that tell a language, with their time and weight; and the files its end
     names. A tool's completion is paired with the latest start of its call id before it, which may be all that names the tool."""
     j, order = F.col("v"), ["source_start"]
-    rows = line_source(read_lines(spark, paths, r"/session-state/[^/]+/events\.jsonl$")).withColumn("v", v.parsed(F.col("value")))
+    rows = v.records(line_source(read_lines(spark, paths, r"/session-state/[^/]+/events\.jsonl$")))
     rows = rows.where(v.kind(j, "$.data").startswith("OBJECT")).withColumns({"session_id": F.regexp_extract("source_file", r"/session-state/([^/]+)/", 1), "kind": v.text(j, "$.type")})
     rows = rows.where(F.col("kind").isin("session.start", "tool.execution_start", "tool.execution_complete", "session.shutdown"))
     said = lambda c: F.when(F.col("kind") == "session.start", v.text(j, f"$.data.context.{c}")).otherwise("")
@@ -150,7 +150,7 @@ def with_facts(store: DataFrame, facts: DataFrame, ended: DataFrame) -> DataFram
 def trace_events(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row for each call: of records about the same trace or response, those of the best kind in their file."""
     j = F.col("v")
-    rows = line_source(read_lines(spark, paths, F.col("path").rlike(r"\.[jJ][sS][oO][nN][lL]$") & ~F.col("path").contains("/session-state/"), '"attributes"')).withColumn("v", v.parsed(F.col("value"))).where("v is not null")
+    rows = v.records(line_source(read_lines(spark, paths, F.col("path").rlike(r"\.[jJ][sS][oO][nN][lL]$") & ~F.col("path").contains("/session-state/"), '"attributes"')))
     a = lambda *names: v.text(j, *[f"$.attributes['{x}']" for x in names])
     n = lambda *names: v.count(j, *[f"$.attributes['{x}']" for x in names])
     operation, name = a("gen_ai.operation.name"), v.text(j, "$.name", "$.attributes['event.name']", "$.body")

@@ -24,7 +24,7 @@ def identity(provider: str, project: Column | str, project_path: Column | str, s
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    return line_source(lines).withColumn("v", v.parsed(F.col("value"))).where("v is not null")
+    return v.records(line_source(lines))
 
 
 def has(path: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelake.functions import variants as v
-from usagelake.functions.binding import let
+from usagelake.functions.binding import let, settled
 from usagelake.functions.evidence import CHANGED, READ, WEIGHED, language_udf, of_arguments, of_claude, of_payload, told, weighed
 from usagelake.functions.ids import COUNTERS, stable_id
 from usagelake.functions.language import language_of
@@ -46,7 +46,7 @@ NOT_NULL = r'"(id|cwd|model|speed|costUSD|version|sessionId|requestId|isApiError
 def claude_kinds(lines: DataFrame) -> DataFrame:
     """Usage rows (is_usage) and rows with a patch, with their record (v)."""
     j = F.col("v")
-    rows = lines.withColumn("v", v.parsed(F.col("value"))).where("v is not null")
+    rows = v.records(lines)
     use = F.col("value").contains('"usage":{') & ~F.col("value").rlike(NOT_NULL) & has("$.message.usage")
     absent = lambda p: F.try_variant_get(j, p, "variant").isNull()
     for p in ("$.sessionId", "$.requestId", "$.message.model"):
@@ -59,7 +59,8 @@ def claude_kinds(lines: DataFrame) -> DataFrame:
     made = (n_hunks == 0) & (F.try_variant_get(j, "$.toolUseResult.type", "string") == "create") & (file != "")
     content = F.coalesce(F.try_variant_get(j, "$.toolUseResult.content", "string"), F.lit(""))
     patch = F.when(made, F.struct(file.alias("path"), count_lines(content).alias("lines_added"), F.lit(0).cast("long").alias("lines_removed"))).when(n_hunks > 0, F.struct(file.alias("path"), counts["lines_added"].alias("lines_added"), counts["lines_removed"].alias("lines_removed")))
-    rows = rows.withColumn("is_usage", F.coalesce(use, F.lit(False))).withColumn("patch", F.when(F.col("value").contains('"structuredPatch"'), patch))
+    rows = settled(rows, "is_usage", F.coalesce(use, F.lit(False)))
+    rows = settled(rows, "patch", F.when(F.col("value").contains('"structuredPatch"'), patch))
     return rows.where("is_usage or patch is not null")
 
 
@@ -129,7 +130,7 @@ def codex_account(t: Column) -> Column:
 
 def load_codex(spark: SparkSession, paths: list[str]) -> DataFrame:
     j, keys, order = F.col("v"), ["source_file"], ["source_start"]
-    rows = line_source(read_lines(spark, paths, r"/(sessions|archived_sessions)/.*\.[jJ][sS][oO][nN][lL]$", '"type"')).withColumn("v", v.parsed(F.col("value"))).where("v is not null")
+    rows = v.records(line_source(read_lines(spark, paths, r"/(sessions|archived_sessions)/.*\.[jJ][sS][oO][nN][lL]$", '"type"')))
     kind, inner = v.text(j, "$.type"), v.text(j, "$.payload.type")
     meta, turn = kind == "session_meta", kind == "turn_context"
     only = lambda condition, c: F.when(condition, c).otherwise("")
@@ -199,10 +200,10 @@ def session_rows(spark: SparkSession, dbs: list[str], tools: tuple[tuple[str, ..
     m = F.try_parse_json("model")
     sessions = sessions.select("path", F.col("id").alias("session_id"), F.coalesce("directory", F.lit("")).alias("directory"), first_non_empty(v.text(m, "$.id", "$.modelID")).alias("session_model"))
     j = F.col("v")
-    messages = read_table(spark, dbs, "message", ["id", "session_id", "time_created", "data"]).withColumn("v", v.parsed(F.col("data"))).where("v is not null")
+    messages = v.records(read_table(spark, dbs, "message", ["id", "session_id", "time_created", "data"]), "data")
     messages = messages.select("path", "row", first_non_empty(v.text(j, "$.id"), F.col("id")).alias("message"), first_non_empty(v.text(j, "$.sessionID"), F.col("session_id")).alias("session_id"), F.col("time_created").try_cast("long").alias("created"), "v")
     messages = messages.join(sessions, ["path", "session_id"], "left")
-    parts = read_table(spark, dbs, "part", ["id", "message_id", "time_created", "data"]).withColumn("v", v.parsed(F.col("data")))
+    parts = v.records(read_table(spark, dbs, "part", ["id", "message_id", "time_created", "data"]), "data")
     parts = parts.select(F.col("path").alias("source_file"), F.col("message_id").alias("message"), F.col("time_created").try_cast("long").alias("t"), "id", "v")
     return messages, *tool_parts(parts, *tools)
 
@@ -210,7 +211,7 @@ def session_rows(spark: SparkSession, dbs: list[str], tools: tuple[tuple[str, ..
 def message_events(messages: DataFrame, changes: DataFrame, evidence: DataFrame, name: str, title: str, running: bool) -> DataFrame:
     j = F.col("v")
     reported = usage(v.count(j, "$.tokens.input"), v.count(j, "$.tokens.output"), v.count(j, "$.tokens.cache.write"), v.count(j, "$.tokens.cache.read"), 0, v.count(j, "$.tokens.reasoning"))
-    rows = messages.withColumn("reported", reported).where(non_zero(F.col("reported")))
+    rows = settled(messages, "reported", reported).where(non_zero(F.col("reported")))
     keys, order = ["path", "session_id"], ["created", "message"]
     r = F.col("reported")
     if running:
@@ -232,10 +233,10 @@ def load_opencode(spark: SparkSession, paths: list[str]) -> DataFrame:
     dbs = sorted({p for root in paths for p in ([root] if os.path.isfile(root) else glob.glob(os.path.join(root, "opencode*.db"))) if os.path.isfile(p)})
     stored = message_events(*session_rows(spark, dbs, OPENCODE_TOOLS), "opencode", "OpenCode", running=True)
     j = F.col("v")
-    legacy = read_documents(spark, paths, r"/storage/message/.*\.json$").withColumn("v", v.parsed(F.col("value"))).where("v is not null")
+    legacy = v.records(read_documents(spark, paths, r"/storage/message/.*\.json$"))
     legacy = legacy.select("path", F.lit(0).cast("long").alias("row"), first_non_empty(v.text(j, "$.id"), stem(F.col("path"))).alias("message"), first_non_empty(v.text(j, "$.sessionID"), F.lit("unknown")).alias("session_id"), F.unix_millis("mtime").alias("created"), "v", F.lit("").alias("directory"), F.lit("").alias("session_model"))
     # Parts of a message lie beside it, a file each: storage/part/<message>/<part>.json.
-    parts = read_documents(spark, paths, r"/storage/part/.*\.json$").withColumn("v", v.parsed(F.col("value"))).where("v is not null")
+    parts = v.records(read_documents(spark, paths, r"/storage/part/.*\.json$"))
     owner = first_non_empty(v.text(j, "$.messageID"), F.regexp_extract("path", r"/storage/part/([^/]+)/[^/]+$", 1))
     parts = parts.select(F.regexp_extract("path", "^(.*)/storage/part/", 1).alias("root"), owner.alias("message"), F.unix_millis("mtime").alias("t"), first_non_empty(v.text(j, "$.id"), stem(F.col("path"))).alias("id"), "v")
     homes = legacy.select(F.regexp_extract("path", "^(.*)/storage/message/", 1).alias("root"), F.col("path").alias("source_file"), "message")
@@ -285,8 +286,8 @@ def load_gemini(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Message logs: checkpoints repeat messages by id, of which the last content counts at the first place."""
     j, keys = F.col("v"), ["source_file"]
     chats = r"/chats/.*\.[jJ][sS][oO][nN][lL]?$"
-    lines = line_source(read_lines(spark, paths, F.col("path").rlike(r"/chats/.*\.[jJ][sS][oO][nN][lL]$"))).withColumn("v", v.parsed(F.col("value"))).where("v is not null")
-    docs = read_documents(spark, paths, F.col("path").rlike(r"\.[jJ][sS][oO][nN]$") & F.col("path").contains("/tmp/")).withColumn("v", v.parsed(F.col("value"))).where("v is not null").select(F.col("path").alias("source_file"), "mtime", F.lit(1).alias("source_line"), F.lit(0).cast("long").alias("source_start"), F.lit(0).cast("long").alias("source_end"), "value", "v")
+    lines = v.records(line_source(read_lines(spark, paths, F.col("path").rlike(r"/chats/.*\.[jJ][sS][oO][nN][lL]$"))))
+    docs = v.records(read_documents(spark, paths, F.col("path").rlike(r"\.[jJ][sS][oO][nN]$") & F.col("path").contains("/tmp/"))).select(F.col("path").alias("source_file"), "mtime", F.lit(1).alias("source_line"), F.lit(0).cast("long").alias("source_start"), F.lit(0).cast("long").alias("source_end"), "value", "v")
     rows = lines.select(*docs.columns).unionByName(docs)
     rows = rows.withColumns({"said_model": v.text(j, "$.model"), "said_session": v.text(j, "$.sessionId")})
     rows = rows.withColumns({"final_model": final_value(F.col("said_model"), keys, ["source_start"]), "session": first_non_empty(final_value(F.col("said_session"), keys, ["source_start"]), stem(F.col("source_file"))), "run_model": carried(F.col("said_model"), keys, ["source_start"])})
@@ -331,7 +332,7 @@ register_provider(Provider("gemini", load_gemini))
 # workbuddy
 def load_workbuddy(spark: SparkSession, paths: list[str]) -> DataFrame:
     j, keys, order = F.col("v"), ["source_file"], ["source_start"]
-    rows = line_source(read_lines(spark, paths, r"/projects/.*\.[jJ][sS][oO][nN][lL]$")).withColumn("v", v.parsed(F.col("value"))).where("v is not null")
+    rows = v.records(line_source(read_lines(spark, paths, r"/projects/.*\.[jJ][sS][oO][nN][lL]$")))
     at = "$.providerData.rawUsage."
     n = lambda *names: [v.count(j, at + x) for x in names]
     prompt, out = F.greatest(*n("prompt_tokens", "input_tokens")), F.greatest(*n("completion_tokens", "output_tokens"))
@@ -339,7 +340,7 @@ def load_workbuddy(spark: SparkSession, paths: list[str]) -> DataFrame:
     thought = F.least(F.greatest(*n("completion_tokens_details.reasoning_tokens", "reasoning_tokens")), out)
     tokens = usage(F.greatest(prompt - cached, F.lit(0)), out - thought, 0, cached, 0, thought)
     rows = rows.withColumns({"message": v.text(j, "$.providerData.messageId"), "usage": apply_total(tokens, v.count(j, at + "total_tokens")), "timestamp": F.coalesce(v.time(j, "$.timestamp"), F.col("mtime"))})
-    rows = rows.withColumn("entry", has("$.providerData.rawUsage") & non_zero(F.col("usage")))
+    rows = settled(rows, "entry", has("$.providerData.rawUsage") & non_zero(F.col("usage")))
     project = project_from_cwd(v.text(j, "$.cwd"))
     lead = lambda c: first_non_empty(final_value(c, keys, order))
     rows = rows.withColumns({"said": v.text(j, "$.cwd")}).withColumn("cwd", F.coalesce(F.nullif(F.col("said"), F.lit("")), F.first(F.nullif(F.col("said"), F.lit("")), ignorenulls=True).over(Window.partitionBy(*keys))))
