@@ -471,7 +471,9 @@ def project_identity(spark, sf_dir):
     said = F.element_at(F.array(F.lit(""), F.concat(F.lit("team "), sk), F.concat(nk, F.lit("/{project}")), F.lit("{project}-{project}"), F.lit("")), (sk % 5 + 1).cast("int"))
     row = lambda d, i, p, b, broken, vcs: [d.alias("dir"), i.alias("identity"), p.alias("said_project"), b.alias("said_branch"), broken.alias("broken"), vcs.alias("vcs")]
     none, no, yes = F.lit(""), F.lit(False), F.lit(True)
-    below = s.join(a.read(spark, sf_dir, "part", "p_partkey"), F.col("p_partkey") % 50 == sk % 50).select(F.concat("dir", F.lit("/p"), F.col("p_partkey") % 3).alias("dir")).distinct()
+    # Of all parts only these remainders matter; joined one by one, pairs of parts and suppliers would grow with the square of the tables.
+    kinds = a.read(spark, sf_dir, "part", "p_partkey").select((F.col("p_partkey") % 50).alias("of"), (F.col("p_partkey") % 3).alias("p")).distinct()
+    below = s.join(kinds, F.col("of") == sk % 50).select(F.concat("dir", F.lit("/p"), "p").alias("dir")).distinct()
     marks = s.select(*row(F.col("dir"), sk % 3 != 0, said, F.when(sk % 2 == 0, F.concat(F.lit("release/"), sk)).otherwise(""), sk % 7 == 1, sk % 4 == 1))
     marks = marks.unionAll(a.read(spark, sf_dir, "nation").select(*row(F.concat(F.lit("/w/n"), n), n % 2 == 0, F.lit("all of {project}"), none, n % 10 == 4, n % 3 == 0)))
     marks = marks.unionAll(spark.range(1).select(*row(F.lit("/w/own"), yes, F.lit("shared"), F.lit("main"), no, no))).unionAll(below.select(*row(F.col("dir"), no, none, none, no, yes)))
