@@ -6,9 +6,13 @@ import json
 import sqlite3
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Rows of a batch, which goes to Spark as columns.
+BATCH_ROWS = 2000
+
 
 def cell(value: object) -> str | None:
     return value.decode("utf-8", "replace") if isinstance(value, bytes) else None if value is None else repr(value) if isinstance(value, float) else str(value)
@@ -27,15 +31,20 @@ class SqliteReader(DataSourceReader):
     def partitions(self) -> list[Database]:
         return [Database(p) for p in self.paths]
 
-    def read(self, partition: Database) -> Iterator[tuple]:
+    def read(self, partition: Database) -> Iterator[pa.RecordBatch]:
         db = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
         try:
             have = {r[1].lower() for r in db.execute(f'PRAGMA table_info("{self.table}")')}
             if not have:
                 return  # a table that isn't there has no rows
             picked = ", ".join(f'"{c}"' if c.lower() in have else "''" for c in self.columns)
-            for number, row in enumerate(db.execute(f'SELECT {picked} FROM "{self.table}"' + (f" WHERE {self.where}" if self.where else ""))):
-                yield partition.path, number, *[cell(v) for v in row]
+            rows, number = db.execute(f'SELECT {picked} FROM "{self.table}"' + (f" WHERE {self.where}" if self.where else "")), 0
+            while some := rows.fetchmany(BATCH_ROWS):
+                n = len(some)
+                cells = [pa.array([v if type(v) is str else cell(v) for v in column], pa.string()) for column in zip(*some, strict=True)]
+                numbers = pa.array(range(number, number + n), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([partition.path] * n, pa.string()), numbers, *cells], ["path", "row", *self.columns])
+                number += n
         except sqlite3.OperationalError as e:
             # A column that a condition needs may be missing; an error while rows are read must not pass for their end.
             if "no such column" not in str(e):
