@@ -10,11 +10,9 @@ pairs are blocks too; of longer lines some triples are no block, and with edits
 at the threshold is missed, fewer above it.
 
 Classes that share a block are compared if their lengths and 256-bit maps of words leave the similarity possible, by the edit distance over
-words. A block of more than SHARED classes is not compared in pairs: PIVOTS of its classes meet all of it, and then each class that
-this leaves outside of the block's largest component meets those classes of the block that share a second block with it
-(lines all of whose triples are blocks, and which may share but one, meet in a block of their own), in chunks of SHARED classes.
-Of pairs in small blocks, those of each class with its least partner are compared first; others only where that doesn't put
-both classes into one group.
+words. PIVOTS classes of each block meet all of it, and then each class that this leaves outside of the block's largest group meets the
+block's classes of other groups, so that the components are those of all pairs of a block. In blocks of more than SHARED classes only those
+meet that have one of their rarest words in common; all pairs at the similarity do, so that changes the work and not what is found.
 
 line_links finds candidates by SimHash within BITS bits instead, which misses most pairs of lines at the threshold; op4 doesn't use it.
 
@@ -26,6 +24,7 @@ lines are counted whole; an empty table gives an empty table; other columns don'
 
 from __future__ import annotations
 
+import gc
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +45,7 @@ BLOCKS_OF = 8  #: blocks of a line, at most
 BANDS = (4, 32, 256)  #: edits that are tried first, since the cost grows with the edits allowed
 SHARED = 1024
 PIVOTS = 4
+FREQUENT = 4096
 MAPS = tuple(f"m{k}" for k in range(4))
 #: Characters from FIRST_SIGN on that stand for words.
 FIRST_SIGN, SIGNS = 0x4E00, 20_000
@@ -241,12 +241,14 @@ def met(rows: DataFrame, others: DataFrame, on: list[str], which: Column) -> Dat
 
 
 def edit_links(docs: DataFrame, classes: DataFrame, similarity: float, lines: DataFrame | None = None) -> DataFrame:
-    """a, b: links between classes (class, keys, and one, where its line stands in docs) whose components are those of all pairs found.
+    """a, b: links between classes (class, keys, and one, where its line stands in docs) whose components are those of all similar pairs that share a block.
 
     lines: h1, h2 and line of all classes, several times too, where they needn't be read from docs; classes has h1 and h2, then.
     """
-    keyed = classes.where(F.col("keys").isNotNull()).select("class", F.col("keys.n").alias("n"), F.col("keys.first").alias("first"))
-    rows = sized(keyed.select(F.explode("first").alias("bucket"), "class"))
+    keyed = classes.where(F.col("keys").isNotNull()).select("class", F.explode("keys.first").alias("bucket"))
+    # Most blocks have one class, whose rows go no further than their count.
+    sizes = written(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "line-sizes")
+    rows = written(prefiltered(keyed, F.col("bucket"), sizes, F.col("bucket")).join(sizes, "bucket"), "line-buckets")
     wanted = rows.select("class").distinct()
     if lines is None:
         lines = lines_of(docs, classes.join(wanted, "class", "left_semi"))
@@ -255,25 +257,66 @@ def edit_links(docs: DataFrame, classes: DataFrame, similarity: float, lines: Da
         lines = prefiltered(lines, F.col("h1"), wanted, F.col("h1")).groupBy("h1", "h2").agg(F.first("line").alias("line")).join(wanted, ["h1", "h2"]).select("class", "line")
     lines = written(lines, "line-texts")
     maps = written(mapped(lines), "line-maps")
-    small = rows.where(F.col("size") <= SHARED).select("bucket", "class").join(maps, "class")
+    freed(lines)
     near = possible("x", "y", similarity)
-    pairs = written(met(small, small, ["bucket"], (F.col("x.class") < F.col("y.class")) & near).distinct(), "line-candidates")
-    large = rows.where(F.col("size") > SHARED)
-    paired = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(large.select(F.col("class").alias("a"))).distinct()
-    signs = written(signed(lines.join(paired, F.col("class") == F.col("a"), "left_semi")), "line-signs")
-    links = linked_pairs(pairs, signs, similarity)
-    return links if large.isEmpty() else links.unionByName(large_links(large, keyed, signs.join(maps.drop("n"), "class"), links, similarity))
-
-
-def linked_pairs(pairs: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of similar classes, as many as connect what all of them do: of each class with its least partner, and
-    others only where that doesn't put both into one group."""
+    # Each class of a block meets the block's pivots, so candidates are as many as the rows of blocks.
+    least = F.array(*[F.min_by("class", F.xxhash64("class", F.lit(k))) for k in range(PIVOTS)])
+    pivots = written(rows.groupBy("bucket").agg(F.first("size").alias("size"), F.array_distinct(least).alias("p")), "line-pivots")
+    first = met(pivots.select("bucket", F.explode("p").alias("class")).join(maps, "class"), rows.join(maps, "class"), ["bucket"], (F.col("x.class") != F.col("y.class")) & near)
+    links = linked_pairs(written(ordered(first), "line-candidates"), lines, similarity)
+    found = hung_together(links).select(F.col("node").alias("class"), "component")
+    freed(lines)
+    # Where all classes but one are pivots, all pairs have met.
+    unmet = pivots.where(F.size("p") < F.col("size") - 1).select("bucket")
+    placed = rows.join(unmet, "bucket", "left_semi").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    placed = written(placed, "line-placed")
+    main = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    placed = written(placed.join(main, "bucket"), "line-open")
+    rest = placed.where("component <> main")
+    placed = placed.join(rest.select("bucket").distinct(), "bucket", "left_semi")
+    # Classes outside of a block's largest group meet all of the block that other groups have.
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("x.class") < F.col("y.class")) | (F.col("y.component") == F.col("y.main"))) & near
+    small, large = F.col("size") <= SHARED, F.col("size") > SHARED
+    pairs = met(rest.where(small).join(maps, "class"), placed.where(small).join(maps, "class"), ["bucket"], apart)
+    many = written(placed.where(large), "line-many")
+    if not many.isEmpty():
+        tokens = written(rarest_words(lines.join(many.select("class").distinct(), "class", "left_semi"), similarity).join(maps, "class"), "line-words")
+        pairs = pairs.unionByName(met(rest.where(large).join(tokens, "class"), many.join(tokens, "class"), ["bucket", "token"], apart))
+    return links.unionByName(linked_pairs(written(ordered(pairs), "line-candidates"), lines, similarity))
+
+
+def freed(rows: DataFrame) -> None:
+    """Lets Spark free the shuffle files of plans that are done with."""
+    gc.collect()
+    rows.sparkSession._jvm.System.gc()
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, a being the less."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def rarest_words(lines: DataFrame, similarity: float) -> DataFrame:
+    """class, token: as many of the rarest words of each line (class, line), and one more, as edits may take from it.
+
+    Lines at the similarity share one of those, whatever the order of words: of two lines the longer one, of m words, has all but edits(m) of
+    them in the other, so both have one of them among so many of its first and one more. A word's second occurrence is a word of its own.
+    """
+    words = lines.select("class", F.explode(F.split("line", " ")).alias("w")).groupBy("class", F.xxhash64("w").alias("h")).agg(F.count("*").alias("times"))
+    tokens = written(words.select("class", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"), "h").select("class", F.xxhash64("h", "time").alias("token")), "line-tokens")
+    # Words that are in fewer than one line of FREQUENT are all alike rare, which bounds what is broadcast.
+    least = max(1, lines.count() // FREQUENT)
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where(F.col("often") > least)
+    ranked = tokens.join(F.broadcast(often), "token", "left").groupBy("class").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token"))).alias("all"))
+    return ranked.select("class", F.explode(F.slice("all", F.lit(1), edits(F.size("all"), similarity) + 1)).alias("t")).select("class", "t.token")
+
+
+def linked_pairs(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose lines are similar."""
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    signs = written(signed(prefiltered(lines, F.col("class"), paired, F.col("class"))), "line-signs")
     x, y = (signs.select(F.col("class").alias(c), F.struct("n", "sign").alias(name)) for c, name in (("a", "x"), ("b", "y")))
-    verified = lambda p: written(p.join(x, "a").join(y, "b").where(similar("x", "y", similarity)).select("a", "b"), "line-links")
-    links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")))
-    of = lambda c: links.select(F.col("b").alias(c), F.col("a").alias(f"of_{c}"))
-    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return links.unionByName(verified(placed.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")))
+    return written(pairs.join(x, "a").join(y, "b").where(similar("x", "y", similarity)).select("a", "b"), "line-links")
 
 
 def hung_together(links: DataFrame, hops: int = 3) -> DataFrame:
@@ -287,34 +330,6 @@ def hung_together(links: DataFrame, hops: int = 3) -> DataFrame:
     return found
 
 
-def large_links(rows: DataFrame, keyed: DataFrame, signs: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """More links, between classes of blocks (bucket, class, size) of more than SHARED classes; links are those found so far."""
-    alike = possible("x", "y", similarity) & similar("x", "y", similarity)
-    members = written(rows.join(signs, "class"), "line-members")
-    pivots = members.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by("class", F.xxhash64("class", F.lit(k))) for k in range(PIVOTS)])).alias("p"))
-    pivots = pivots.select("bucket", F.explode("p").alias("class")).join(signs, "class")
-    more = written(met(pivots, members, ["bucket"], (F.col("x.class") != F.col("y.class")) & alike).distinct(), "line-links")
-    found = hung_together(links.unionByName(more)).select(F.col("node").alias("class"), "component")
-    placed = written(members.select("bucket", "class", "size").join(found, "class", "left").withColumn("component", F.coalesce("component", "class")), "line-placed")
-    main = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"))
-    rest = written(placed.join(main, "bucket").where(F.col("component") != F.col("main.component")).select("bucket", "class"), "line-rest")
-    if rest.isEmpty():
-        return more
-    # Those meet in smaller ones: of the same bucket and of a second block that both lines have.
-    few = F.when(F.size("first") < BLOCKS_OF, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    second = F.explode(F.concat(F.filter("first", lambda w: w != F.col("bucket")), few))
-    split = placed.join(keyed, "class").withColumn("second", second).select("class", "component", F.xxhash64("bucket", "second").alias("bucket"), F.col("bucket").alias("from"))
-    apart = split.join(rest.withColumnRenamed("bucket", "from"), ["from", "class"], "left_semi").drop("from")
-    split = split.join(apart.select("bucket").distinct(), "bucket", "left_semi").drop("from")
-    chunks = split.groupBy("bucket").agg(F.ceil(F.count("*") / SHARED).alias("chunks"))
-    split = split.join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks"))).join(signs, "class")
-    apart = apart.join(chunks, "bucket").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).join(signs, "class")
-    # Few rows, much work each: so many partitions that Spark doesn't put them together by size.
-    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split, apart = split.repartition(n, "bucket", "chunk"), apart.repartition(n, "bucket", "chunk")
-    return more.unionByName(written(met(apart, split, ["bucket", "chunk"], (F.col("x.component") != F.col("y.component")) & alike).distinct(), "line-links"))
-
-
 def lines_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """class, line: the normalised line of each class, read back from the document of its first occurrence."""
     wanted = classes.groupBy(F.col("one.key").alias("_key"), F.col("one.doc_id").alias("_id")).agg(F.collect_list(F.struct("class", F.col("one.number").alias("number"))).alias("wanted"))
