@@ -23,9 +23,15 @@ from usagelake.sources.lines import split_lines
 TAIL = "path string, size bigint, mtime_ns bigint, line int, start bigint, stop bigint, value string, complete boolean"
 
 
+#: A file's bytes of a batch are cut into pieces of at least so many bytes, and into no more than PIECES.
+PIECE, PIECES = 4 << 20, 64
+
+
 class Span(InputPartition):
-    def __init__(self, path: str, start: int, stop: int, size: int, mtime_ns: int) -> None:
-        self.path, self.start, self.stop, self.size, self.mtime_ns = path, start, stop, size, mtime_ns
+    """Lines of a file from start to stop; begin is where the file's bytes of the batch begin, from which lines are counted."""
+
+    def __init__(self, path: str, start: int, stop: int, size: int, mtime_ns: int, begin: int) -> None:
+        self.path, self.start, self.stop, self.size, self.mtime_ns, self.begin = path, start, stop, size, mtime_ns, begin
 
 
 def jsonl_files(root: str) -> Iterator[str]:
@@ -66,6 +72,28 @@ def first_line_end(path: str, at: int, size: int) -> int:
     return size
 
 
+def pieces(path: str, start: int, stop: int) -> list[tuple[int, int]]:
+    """start and stop of pieces that end at line feeds, but for the last."""
+    size, out, at = max(PIECE, -(-(stop - start) // PIECES)), [], start
+    try:
+        while stop - at > size:
+            end = first_line_end(path, at + size - 1, stop)
+            out.append((at, end))
+            at = end
+    except OSError:
+        pass  # gone meanwhile; its reader passes over it
+    return out + [(at, stop)] * (at < stop or not out)
+
+
+def lines_between(path: str, start: int, stop: int) -> int:
+    found = 0
+    with open(path, "rb") as f:
+        f.seek(start)
+        while start < stop and (block := f.read(min(1 << 20, stop - start))):
+            found, start = found + block.count(b"\n"), start + len(block)
+    return found
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.roots = [p for p in options.get("path", "").split(",") if p]
@@ -122,13 +150,15 @@ class TailReader(DataSourceStreamReader):
         out = []
         for path, (_, upto, mtime, begin) in sorted(end.items()):
             if [upto, mtime] != start.get(path, [0, 0, -1])[1:3]:
-                out.append(Span(path, min(begin, start.get(path, [0])[0]), upto, upto, mtime))
-        return out or [Span("", 0, 0, 0, 0)]
+                first = min(begin, start.get(path, [0])[0])
+                out += [Span(path, at, stop, upto, mtime, first) for at, stop in pieces(path, first, upto)]
+        return out or [Span("", 0, 0, 0, 0, 0)]
 
     def read(self, partition: Span) -> Iterator[tuple]:
         if not partition.path:
             return
         try:
+            earlier = lines_between(partition.path, partition.begin, partition.start)
             with open(partition.path, "rb") as f:
                 f.seek(partition.start)
                 body = f.read(partition.stop - partition.start)
@@ -136,7 +166,7 @@ class TailReader(DataSourceStreamReader):
             return
         for number, start, stop, line, complete in split_lines(body, partition.start):
             if all(n in line for n in self.needed):
-                yield partition.path, partition.size, partition.mtime_ns, number, start, stop, line.decode("utf-8", "replace"), complete
+                yield partition.path, partition.size, partition.mtime_ns, earlier + number, start, stop, line.decode("utf-8", "replace"), complete
 
     def commit(self, end: dict) -> None:
         pass
