@@ -110,15 +110,17 @@ def load_openclaw(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = rows.withColumn("change", change)
     changed = lambda *names: F.when(F.col("change"), F.when(within, v.text(j, *[f"$.data.{n}" for n in names])).otherwise(v.text(j, *[f"$.{n}" for n in names]))).otherwise("")
     keys, order = ["source_file"], ["source_start"]
-    rows = rows.withColumns({"now_model": changed("modelId", "model"), "now_provider": changed("provider")})
-    rows = rows.withColumns({"now_model": carried(F.col("now_model"), keys, order), "now_provider": carried(F.col("now_provider"), keys, order)})
-    rows = rows.where(~F.col("change") & (v.text(j, "$.type") == "message") & (v.text(j, "$.message.role") == "assistant") & has("$.message.usage"))
+    said = ~F.col("change") & (v.text(j, "$.type") == "message") & (v.text(j, "$.message.role") == "assistant") & has("$.message.usage")
+    tokens = usage(*[v.count(j, f"$.message.usage.{c}") for c in ("input", "output", "cacheWrite", "cacheRead")])
+    # All that a record says is read before files are put in order, whose tasks get a few columns of lines that count.
+    rows = rows.withColumns({"now_model": changed("modelId", "model"), "now_provider": changed("provider"), "said": said})
+    rows = rows.where("change or said").withColumns({"timestamp": F.coalesce(v.time(j, "$.message.timestamp"), v.time(j, "$.timestamp"), F.col("mtime")), "own_model": v.text(j, "$.message.modelId", "$.message.model"), "own_provider": v.text(j, "$.message.provider"), "usage": apply_total(tokens, v.count(j, "$.message.usage.totalTokens"))})
+    rows = rows.drop("v", "value", "mtime").withColumns({"now_model": carried(F.col("now_model"), keys, order), "now_provider": carried(F.col("now_provider"), keys, order)}).where("said")
     name = base(path)
     session = F.when(F.instr(name, ".jsonl") > 1, F.substring_index(name, ".jsonl", 1)).otherwise(name)
-    model = first_non_empty(v.text(j, "$.message.modelId", "$.message.model"), F.col("now_model"), F.lit("unknown"))
-    tokens = usage(*[v.count(j, f"$.message.usage.{c}") for c in ("input", "output", "cacheWrite", "cacheRead")])
-    rows = rows.withColumns({"timestamp": F.coalesce(v.time(j, "$.message.timestamp"), v.time(j, "$.timestamp"), F.col("mtime")), "tokens": tokens, **identity("openclaw", "openclaw", "OpenClaw", session, F.concat(F.lit("[openclaw] "), model), "OpenClaw")})
-    return finished(rows.withColumn("usage", apply_total(F.col("tokens"), v.count(j, "$.message.usage.totalTokens"))), first_non_empty(v.text(j, "$.message.provider"), F.col("now_provider")))
+    model = first_non_empty(F.col("own_model"), F.col("now_model"), F.lit("unknown"))
+    rows = rows.withColumns(identity("openclaw", "openclaw", "OpenClaw", session, F.concat(F.lit("[openclaw] "), model), "OpenClaw"))
+    return finished(rows, first_non_empty(F.col("own_provider"), F.col("now_provider")))
 
 
 register_provider(Provider("openclaw", load_openclaw))
