@@ -1,5 +1,7 @@
 """Blocks of op4: what is found doesn't depend on their size, and candidates grow with their rows."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +40,21 @@ def test_candidates_of_near_copies_grow_with_their_number(spark, monkeypatch):
     found = links_of(spark, lines, [list(range(8))] * 80)
     assert {c for pair in found for c in pair} == set(range(80))
     assert sum(candidates) <= line_dedup.PIVOTS * 80
+
+
+def test_lines_and_keys_are_gone_when_candidates_are_written(spark, monkeypatch):
+    rows = [(i, "\n".join(" ".join([*(f"w{j}x{k}" for k in range(9)), f"v{i % 3}"]) for j in range(i, i + 4))) for i in range(30)]
+    written, names, left = line_dedup.written, [], []
+
+    def listing(df, name, *more):
+        if name == "line-candidates":
+            left.append([n for n, t in names if os.path.exists(t.written_at.removeprefix("file:"))])
+        table = written(df, name, *more)
+        names.append((name, table))
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", listing)
+    found = {r.doc_id: r.n_removed for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: 0} | dict.fromkeys(range(1, 30), 3)
+    assert len(left) == 2
+    assert not {"lines", "line-classes"} & {n for names in left for n in names}

@@ -30,7 +30,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.llm.common import prefiltered, scratch, written
+from usagelake.llm.common import dropped, prefiltered, scratch, written
 from usagelake.llm.graph import connected_components
 
 MIN_WORDS = 5
@@ -183,21 +183,19 @@ def edits(n: Column, similarity: float) -> Column:
     return F.floor(n * (1 - similarity) + 1e-9).cast("int")
 
 
-def bound(value: Column, f) -> Column:
-    """f of the value, which is computed once however often f has it."""
-    return F.transform(F.array(value), f)[0]
+def line_keys(lines: DataFrame) -> DataFrame:
+    """row, h1, h2, n, and k0 to k7: the blocks of each line (row, h1, h2, line) as numbers, least first.
 
-
-def line_keys(line: Column) -> Column:
-    """n, and k0 to k7: the blocks of a line as numbers, least first."""
-    mix = lambda p, q: F.coalesce(F.xxhash64(p, q), F.lit(0).cast("long"))
-    from_second = lambda x, k: F.slice(x, k, F.greatest(F.size(x) - k + 1, F.lit(0)))
-    joined = lambda x, y: F.slice(F.zip_with(x, y, mix), 1, F.least(F.size(x), F.size(y)))
-    pairs = lambda x: joined(x, from_second(x, 2))
-    triples = lambda x: bound(pairs(x), lambda p: joined(p, from_second(x, 3)))
-    blocks = lambda x: F.when(F.size(x) > 5, triples(x)).when(F.size(x) > 1, F.concat(triples(x), pairs(x))).otherwise(F.array().cast("array<bigint>"))
-    found = lambda x: bound(F.sort_array(F.array_distinct(blocks(x))), lambda y: F.struct(F.size(x).alias("n"), *[F.get(y, F.lit(k)).alias(f"k{k}") for k in range(BLOCKS_OF)]))
-    return bound(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), found)
+    Each step is a column of its own, so that sorting is done on plain longs, outside of lambdas.
+    """
+    x, n = F.col("x"), F.size("x")
+    pair = lambda w, i: F.xxhash64(w, F.get(x, i + 1))
+    pairs = F.slice(F.transform(x, pair), F.lit(1), F.greatest(n - 1, F.lit(0)))
+    triples = F.slice(F.transform(x, lambda w, i: F.xxhash64(pair(w, i), F.get(x, i + 2))), F.lit(1), F.greatest(n - 2, F.lit(0)))
+    blocks = F.when(n > 5, triples).when(n > 1, F.concat(triples, pairs)).otherwise(F.array().cast("array<bigint>"))
+    words = lines.select("row", "h1", "h2", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("x"))
+    least = words.select("row", "h1", "h2", n.alias("n"), F.sort_array(F.array_distinct(blocks)).alias("y"))
+    return least.select("row", "h1", "h2", "n", *[F.get("y", F.lit(k)).alias(f"k{k}") for k in range(BLOCKS_OF)])
 
 
 def mapped(lines: DataFrame) -> DataFrame:
@@ -240,22 +238,26 @@ def met(rows: DataFrame, others: DataFrame, on: list[str], which: Column) -> Dat
     return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
 
 
-def edit_links(docs: DataFrame, classes: DataFrame, similarity: float, lines: DataFrame | None = None) -> DataFrame:
-    """a, b: links between classes (class, keys, and one, where its line stands in docs) whose components are those of all similar pairs that share a block.
-
-    lines: h1, h2 and line of all classes, several times too, where they needn't be read from docs; classes has h1 and h2, then.
-    """
+def shared_blocks(classes: DataFrame) -> DataFrame:
+    """class, bucket, size: the blocks of classes (class, keys) that several classes have, with their number."""
     keyed = classes.where(F.col("keys").isNotNull()).select("class", F.explode("keys.first").alias("bucket"))
     # Most blocks have one class, whose rows go no further than their count.
     sizes = written(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "line-sizes")
-    rows = written(prefiltered(keyed, F.col("bucket"), sizes, F.col("bucket")).join(sizes, "bucket"), "line-buckets")
-    wanted = rows.select("class").distinct()
-    if lines is None:
-        lines = lines_of(docs, classes.join(wanted, "class", "left_semi"))
-    else:
-        wanted = written(classes.select("h1", "h2", "class").join(wanted, "class"), "line-wanted")
-        lines = prefiltered(lines, F.col("h1"), wanted, F.col("h1")).groupBy("h1", "h2").agg(F.first("line").alias("line")).join(wanted, ["h1", "h2"]).select("class", "line")
-    lines = written(lines, "line-texts")
+    return written(prefiltered(keyed, F.col("bucket"), sizes, F.col("bucket")).join(sizes, "bucket"), "line-buckets")
+
+
+def edit_links(docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between classes (class, keys, and one, where its line stands in docs) as block_links finds them."""
+    rows = shared_blocks(classes)
+    lines = written(lines_of(docs, classes.join(rows.select("class").distinct(), "class", "left_semi")), "line-texts")
+    return block_links(rows, lines, similarity)
+
+
+def block_links(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between classes whose components are those of all similar pairs that share a block.
+
+    rows: blocks (class, bucket, size); lines: class, line of each class that has one.
+    """
     maps = written(mapped(lines), "line-maps")
     freed(lines)
     near = possible("x", "y", similarity)
@@ -348,24 +350,38 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MI
     lines = texts.select("doc_id", "key", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("number", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     if min_words > 1:
         lines = lines.where(F.size(F.split("line", " ")) >= min_words)
-    lines = written(lines.select("doc_id", "key", "number", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line"), "lines")
+    lines = written(lines.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", "number", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line"), "lines", "zstd")
     names = ["n", *(f"k{k}" for k in range(BLOCKS_OF))]
-    keyed = lines.select("h1", "h2", line_keys(F.col("line")).alias("keys")).select("h1", "h2", "keys.*")
-    sets = keyed.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in names])
+    sets = line_keys(lines).groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("row").alias("row"), *[F.min(c).alias(c) for c in names])
     first = F.filter(F.array(*names[1:]), lambda k: k.isNotNull())
     keys = F.when(edits(F.col("n") + 1, similarity) > 0, F.struct("n", first.alias("first")))
-    classes = written(sets.select("h1", "h2", F.monotonically_increasing_id().alias("class"), keys.alias("keys")), "line-classes")
+    classes = written(sets.select("h1", "h2", "times", "row", F.monotonically_increasing_id().alias("class"), keys.alias("keys")), "line-classes")
+    freed(lines)
     with scratch() as inner:
-        links = inner.keep(written(edit_links(docs, classes, similarity, lines.select("h1", "h2", "line")), "line-all"))
+        rows = shared_blocks(classes)
+        shared = rows.select("class").distinct().withColumn("shared", F.lit(True))
+        named = classes.select("h1", "h2", "times", "row", "class").join(shared, "class", "left").where("times > 1 or shared")
+        named = inner.keep(written(named, "line-named"))
+        # Of the lines and keys, which are the largest tables, no more is held than what later steps read.
+        dropped(classes)
+        freed(rows)
+        wanted = named.where("shared").select("row", "class")
+        texts = prefiltered(lines.select("row", "line"), F.col("row"), wanted, F.col("row")).join(wanted, "row").select("class", "line")
+        texts = written(texts, "line-texts", "zstd")
+        places = inner.keep(written(lines.drop("row", "line"), "line-places"))
+        dropped(lines)
+        freed(rows)
+        links = inner.keep(written(block_links(rows, texts, similarity), "line-all"))
     found = connected_components(links, "a", "b").select(F.col("node").alias("class"), "component")
     where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "number")
-    single = classes.select("h1", "h2", "class").join(found, "class").select("h1", "h2", "component")
-    ones = lines.groupBy("h1", "h2").agg(F.min(where).alias("one"), F.count("*").alias("n")).join(single, ["h1", "h2"], "left").where("n > 1 or component is not null")
+    again = written(named.join(found, "class", "left").where("times > 1 or component is not null").select("h1", "h2", "component"), "line-again")
+    lines = written(prefiltered(places, F.col("h1"), again, F.col("h1")).join(again, ["h1", "h2"]), "line-found")
+    ones = written(lines.groupBy("h1", "h2").agg(F.min(where).alias("one"), F.first("component").alias("component")), "line-ones")
     # A line that is like no other line is a component of its own, and needs no number.
     alone = ones.where("component is null").select("h1", "h2", F.col("one").alias("first"))
-    linked = written(ones.where("component is not null"), "line-linked")
+    linked = ones.where("component is not null")
     kept = alone.unionByName(linked.join(linked.groupBy("component").agg(F.min("one").alias("first")), "component").select("h1", "h2", "first"))
-    gone = lines.drop("line").join(kept, ["h1", "h2"]).where(where != F.col("first"))
+    gone = lines.drop("component").join(kept, ["h1", "h2"]).where(where != F.col("first"))
     return gone.groupBy("doc_id", "key").agg(F.collect_set("number").alias("gone"))
 
 
