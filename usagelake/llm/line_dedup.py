@@ -282,7 +282,10 @@ def block_links(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     pairs = met(rest.where(small).join(maps, "class"), placed.where(small).join(maps, "class"), ["bucket"], apart)
     many = written(placed.where(large), "line-many")
     if not many.isEmpty():
-        tokens = written(rarest_words(lines.join(many.select("class").distinct(), "class", "left_semi"), similarity).join(maps, "class"), "line-words")
+        # Few lines are in large blocks; the texts of the others aren't shuffled.
+        inside = prefiltered(lines, F.col("class"), many, F.col("class")).join(many.select("class").distinct(), "class", "left_semi")
+        # Dealt by class as texts, lines needn't be dealt as words to count them.
+        tokens = written(rarest_words(inside.repartition("class"), similarity).join(maps, "class"), "line-words")
         pairs = pairs.unionByName(met(rest.where(large).join(tokens, "class"), many.join(tokens, "class"), ["bucket", "token"], apart))
     return links.unionByName(linked_pairs(written(ordered(pairs), "line-candidates"), lines, similarity))
 
