@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from usagelake.operators.precedence import suppress_lower, without_twins
 from usagelake.operators.sequence import as_of, carried
 from usagelake.providers.base import Provider, existing, finished, line_source, register_provider
 from usagelake.providers.simple import identity
-from usagelake.sources.lines import read_lines
+from usagelake.sources.lines import Roots, read_lines
 from usagelake.sources.sqlite import read_table
 
 TWIN_MICROS = 2_000_000
@@ -173,14 +175,16 @@ def trace_events(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def load_copilot(spark: SparkSession, paths: list[str]) -> DataFrame:
-    contexts, facts, ended = transcripts(spark, paths)
+    # A database that is named itself has no lines; there can be thousands of them.
+    texts = Roots([p for p in paths if not (p.lower().endswith(".db") and os.path.isfile(p))], getattr(paths, "only", None))
+    contexts, facts, ended = transcripts(spark, texts)
     store = with_facts(store_events(spark, existing(paths, "session-store.db"), contexts), facts, ended)
     from usagelake.schema import as_events
 
     store = as_events(store)
     keys = ["session_id", "model", *[c for c in COUNTERS if c not in ("cached_input_tokens", "total_tokens")]]
     flat = lambda d: d.select("*", *[F.col(f"usage.{c}").alias(c) for c in keys[2:]])
-    traces = without_twins(flat(trace_events(spark, paths)), flat(store), keys, "timestamp", TWIN_MICROS).drop(*keys[2:])
+    traces = without_twins(flat(trace_events(spark, texts)), flat(store), keys, "timestamp", TWIN_MICROS).drop(*keys[2:])
     return store.unionByName(traces)
 
 
